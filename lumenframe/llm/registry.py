@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, quality_rules
+from . import license_digest, line_dedup, mixing, near_dedup, packing, pii, quality_model, quality_rules, vp_search, warc
 
 _MODULES = {
     "op1_quality_rules": quality_rules,
     "op2_mix_sources": mixing,
     "op3_near_dedup": near_dedup,
+    "op4_warc": warc,
+    "op5_pii": pii,
+    "op6_pack": packing,
+    "op7_license_digest": license_digest,
+    "op8_quality_model": quality_model,
+    "op9_line_dedup": line_dedup,
+    "op10_vp_search": vp_search,
 }
 
 
