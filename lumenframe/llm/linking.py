@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Rounds of pivots before the pairs that are left are all compared, however many they are.
-PIVOT_ROUNDS = 8
+PIVOT_ROUNDS = 12
+#: Slots of the filter of shared keys: 64 a row, so it has SLOTS / 64 = 262,144 rows at most, whatever the input, and may be broadcast.
+SLOTS = 1 << 24
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,43 +35,50 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_keys(entries: DataFrame) -> DataFrame:
-    """The rows of entries (key, id) whose key has two ids or more. Keys are counted by partial aggregation first."""
-    keys = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    return entries.join(keys, "key")
+    """The rows of entries (key, id), each pair once, whose key occurs twice or more.
+
+    Keys are counted by partial aggregation, so a hot key is a row a task. Before entries are shuffled to the shared keys, a filter of fixed size drops most of
+    those whose key is alone; where it fills up it only saves less.
+    """
+    keys = cut(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys")
+    slot = f"pmod(key, {SLOTS}L)"
+    bits = keys.groupBy(F.expr(f"{slot} div 64").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({slot} % 64 AS INT)))").alias("bits"))
+    may = entries.withColumn("word", F.expr(f"{slot} div 64")).join(F.broadcast(bits), "word").filter(f"shiftright(bits, CAST({slot} % 64 AS INT)) & 1L = 1L")
+    return may.select("key", "id").join(keys, "key")
 
 
 def link_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of the links among ids that share a bucket. buckets: (key, id), each key with two ids or more. verify: the pairs (a, b) that are links.
+    """Components of the links among ids that share a bucket. buckets: (key, id), keys with two ids or more. verify: the pairs (a, b) that are links.
 
-    In each round, two members of each bucket are its pivots; they are compared with all members of other components and then leave the bucket. Rounds
-    go on while buckets hold many components; then every two components that still meet in a bucket are compared member by member. So any two members of a
-    bucket are compared unless they are known to be connected: no link between components is lost, and a bucket of near copies costs a few
-    comparisons a member.
+    In each round, two members of each bucket are its pivots, in the first round the smallest and largest id, later others by a hash of key and id; they are compared
+    with all members of other components and then leave the bucket. Rounds go on until the pairs that are left are few; then every two components that
+    still meet in a bucket are compared member by member. So any two members of a bucket are compared unless they are known to be connected: no link between
+    components is lost, and a bucket of near copies costs a few comparisons a member.
     """
     left = cut(buckets.select("key", "id").distinct(), "buckets")
-    links: DataFrame | None = None
     comp: DataFrame | None = None
     for turn in range(PIVOT_ROUNDS + 1):
         named = left.withColumn("comp", F.col("id")) if comp is None else left.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        parts = named.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-        mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("k > 1")
-        joined = cut(named.join(mixed, "key"), "mixed")
-        rows, meets = joined.agg(F.count("*"), F.sum(F.col("k") - 1)).first()
+        named = named.withColumn("h", F.xxhash64(F.lit(turn), "key", "id") if turn else F.col("id"))
+        parts = named.groupBy("key", "comp").agg(F.min("h").alias("h1"), F.max("h").alias("h2"), F.min_by("id", "h").alias("lo"), F.max_by("id", "h").alias("hi"))
+        mixed = parts.groupBy("key").agg(F.count("*").alias("k"), F.min_by("lo", "h1").alias("lo"), F.max_by("hi", "h2").alias("hi")).filter("k > 1")
+        joined = cut(named.drop("h").join(mixed, "key"), "mixed")
+        rows, meets = joined.agg(F.count("*"), F.sum("k")).first()
         if not rows:
             break
-        if turn == PIVOT_ROUNDS or meets <= 2 * rows:
-            pairs = _remaining(joined, comp)
-        else:
-            ends = joined.select("id", "comp", F.explode(F.array("lo", "hi")).alias("p")).filter("id != p")
+        pairs = _remaining(joined, comp, None if turn == PIVOT_ROUNDS else 2 * rows) if turn == PIVOT_ROUNDS or meets <= 6 * rows else None
+        last = pairs is not None
+        if not last:
+            ends = joined.select("id", "comp", F.explode(F.array("lo", "hi")).alias("p")).filter("id != p").distinct()
             if comp is not None:
-                ends = ends.distinct().join(comp.select(F.col("id").alias("p"), F.col("comp").alias("pcomp")), "p", "left").filter("comp != coalesce(pcomp, p)")
+                ends = ends.join(comp.select(F.col("id").alias("p"), F.col("comp").alias("pcomp")), "p", "left").filter("comp != coalesce(pcomp, p)")
             pairs = ends.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        found = cut(verify(pairs), "links")
-        links = found if links is None else links.union(found)
+        links = verify(pairs)
+        if comp is not None:
+            # a component's edges to its smallest id stand for all links so far
+            links = links.union(comp.filter("id != comp").select(F.col("id").alias("a"), F.col("comp").alias("b")))
         comp = cut(components(links), "components")
-        # the root's edges stand for all links so far
-        links = comp.filter("id != comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
-        if turn == PIVOT_ROUNDS or meets <= 2 * rows:
+        if last:
             break
         left = joined.filter("id != lo AND id != hi").select("key", "id")
     if comp is None:
@@ -77,10 +86,16 @@ def link_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]
     return comp
 
 
-def _remaining(joined: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """All pairs of members of two components that meet in a bucket."""
+def _remaining(joined: DataFrame, comp: DataFrame | None, most: int | None) -> DataFrame | None:
+    """All pairs of members of two components that meet in a bucket; None if they are more than `most`, which is counted from the components' sizes first."""
     held = joined.select("key", "comp").distinct()
-    meet = held.alias("x").join(held.alias("y"), "key").filter("x.comp < y.comp").select(F.col("x.comp").alias("c"), F.col("y.comp").alias("d")).distinct()
-    ids = joined.select("id", "comp").distinct() if comp is None else joined.select("id", "comp").union(comp.select("id", "comp")).distinct()
+    meet = cut(held.alias("x").join(held.alias("y"), "key").filter("x.comp < y.comp").select(F.col("x.comp").alias("c"), F.col("y.comp").alias("d")).distinct(), "meet")
+    own = joined.select("id", "comp").distinct()
+    ids = cut(own if comp is None else own.union(comp.select("id", "comp").join(held.select("comp").distinct(), "comp").select("id", "comp")).distinct(), "meet-ids")
+    if most is not None:
+        size = ids.groupBy("comp").agg(F.count("*").alias("n"))
+        sizes = meet.join(size.select(F.col("comp").alias("c"), F.col("n").alias("nc")), "c").join(size.select(F.col("comp").alias("d"), F.col("n").alias("nd")), "d")
+        if (sizes.agg(F.sum(F.col("nc") * F.col("nd"))).first()[0] or 0) > most:
+            return None
     pairs = meet.join(ids.select(F.col("id").alias("u"), F.col("comp").alias("c")), "c").join(ids.select(F.col("id").alias("v"), F.col("comp").alias("d")), "d")
     return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
