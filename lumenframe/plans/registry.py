@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pixels, rules
+from . import batch, pixels, rules
 
-_ALL = pixels.QUERIES | rules.QUERIES
+_ALL = pixels.QUERIES | rules.QUERIES | batch.QUERIES
 
 
 def queries() -> dict:
