@@ -33,7 +33,7 @@ SPELLINGS = (
     ("organization", "organisation"),
     ("per cent", "percent"),
     ("recognize", "recognise"),
-    ("sub-license", "sublicence"),
+    ("sub-licence", "sublicence"),
     ("sublicense", "sublicence"),
     ("utilize", "utilise"),
     ("whilst", "while"),
