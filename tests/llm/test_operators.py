@@ -135,9 +135,9 @@ def test_pii(spark):
 def test_pii_terms(spark):
     """A rare word that stands by one address in different contexts is removed there; common words stay."""
     filler = [(i, f"the weather of day {i} was fine for the people") for i in range(120)]
-    own = [(100 + i, f"note {i} zanzibarro writes from ann@site.example.org on the day {i}") for i in range(3)]
+    own = [(1000 + i, f"note {i} zanzibarro writes from ann@site.example.org on the day {i}") for i in range(3)]
     got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(filler + own, "doc_id long, text string")).collect()}
-    assert "zanzibarro" not in got[100].clean_text and "[EMAIL]" in got[100].clean_text and " the " in got[100].clean_text
+    assert "zanzibarro" not in got[1000].clean_text and "[EMAIL]" in got[1000].clean_text and " the " in got[1000].clean_text
     assert all(got[i].spans == "" for i in range(120))
 
 
