@@ -32,10 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lost executors recompute nothing before it."""
+    """Writes df as Parquet in the shared folder and reads it back: lost executors recompute nothing before it, and its shuffles leave the disks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark drops a shuffle's files once the driver's JVM has collected its plan, which may take half an hour on a large heap
+    spark.sparkContext._jvm.java.lang.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
