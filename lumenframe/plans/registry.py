@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import batch, pixels, rules
+from . import batch, pixels, rasters, rules
 
-_ALL = pixels.QUERIES | rules.QUERIES | batch.QUERIES
+_ALL = pixels.QUERIES | rules.QUERIES | batch.QUERIES | rasters.QUERIES
 
 
 def queries() -> dict:
