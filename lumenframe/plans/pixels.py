@@ -90,7 +90,7 @@ SELECT image_id, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*
 
 
 def colour_scalars(spark: SparkSession, d: str) -> DataFrame:
-    px = color.with_lab(scene_px(spark, d).filter("y = 12"), ("r", "g", "b"), "lab")
+    px = color.with_lab(scene_px(spark, d), ("r", "g", "b"), "lab")
     return px.select(
         "image_id",
         "x",

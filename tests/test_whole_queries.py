@@ -2,7 +2,7 @@
 
 import duckdb
 
-from lumenframe.plans import registry, rules
+from lumenframe.plans import pixels, registry, rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +22,10 @@ def test_compose_gate_judges_every_order(spark):
     got = registry.queries()["compose_gate"](spark, SF).select(*names).collect()
     assert sorted(repr(tuple(r)) for r in got) == want
     assert {r.id for r in got} == {r.l_orderkey for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect()}
+
+
+def test_colour_scalars_take_every_pixel(spark):
+    names, want = whole(pixels.SCALARS_SQL, " WHERE y = 12")
+    got = registry.queries()["colour_scalars"](spark, SF).select(*names).collect()
+    assert sorted(repr(tuple(r)) for r in got) == want
+    assert len(got) == 24 * 24 * spark.read.parquet(f"{SF}/part.parquet").count()
