@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .. import catalog as C
 from ..functions import stats, text
@@ -106,10 +110,15 @@ SELECT p_partkey, CASE WHEN k3 = 0 AND n > 0 THEN n WHEN k3 = 1 AND n > 0 AND m
   ('0x' || substr(c, 1, 2))::INT AS r, ('0x' || substr(c, 3, 2))::INT AS g, ('0x' || substr(c, 5, 2))::INT AS b, CASE WHEN q > 0 THEN q * u END AS max_bytes, CASE WHEN x1 < x2 THEN x1 END AS x1, CASE WHEN x1 < x2 THEN x2 END AS x2 FROM p"""
 
 
+@F.pandas_udf(LongType())
+def _adler32(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda x: zlib.adler32(x.encode()), na_action="ignore")
+
+
 def digests(spark: SparkSession, d: str) -> DataFrame:
-    """SHA-256 and Adler-32 of page bytes. Adler's sums are folded in the row by array functions."""
-    p = table(spark, d, "pages").select("page_id", F.substring("url", 1, 200).alias("u"))
-    return p.select("page_id", F.sha2("u", 256).alias("sha256"), F.expr("aggregate(transform(sequence(1, length(u)), i -> ascii(substring(u, i, 1))), struct(1L AS a, 0L AS b), (s, x) -> struct((s.a + x) % 65521 AS a, (s.b + s.a + x) % 65521 AS b), s -> s.b * 65536 + s.a)").alias("adler32"))
+    """SHA-256 and Adler-32 of page bytes: of the whole html as UTF-8."""
+    p = table(spark, d, "pages")
+    return p.select("page_id", F.sha2("html", 256).alias("sha256"), _adler32("html").alias("adler32"))
 
 
 DIGESTS_SQL = """WITH p AS (SELECT page_id, substr(url, 1, 200) AS u FROM pages), c AS (SELECT page_id, u, unnest(range(1, length(u) + 1)) AS i FROM p), s AS (SELECT page_id, u, sum(ascii(substr(u, i::INT, 1)))::BIGINT AS t, sum((length(u) - i + 1) * ascii(substr(u, i::INT, 1)))::BIGINT AS w FROM c GROUP BY ALL)

@@ -1,5 +1,8 @@
 """Queries that once took a part of their input give rows for all of it."""
 
+import hashlib
+import zlib
+
 import duckdb
 
 from lumenframe.plans import pixels, registry, rules
@@ -29,3 +32,9 @@ def test_colour_scalars_take_every_pixel(spark):
     got = registry.queries()["colour_scalars"](spark, SF).select(*names).collect()
     assert sorted(repr(tuple(r)) for r in got) == want
     assert len(got) == 24 * 24 * spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+def test_digests_take_the_whole_page(spark):
+    pages = {r.page_id: r.html.encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r.page_id: (r.sha256, r.adler32) for r in registry.queries()["digests"](spark, SF).collect()}
+    assert got == {k: (hashlib.sha256(v).hexdigest(), zlib.adler32(v)) for k, v in pages.items()}
