@@ -141,6 +141,43 @@ def test_pii_terms(spark):
     assert all(got[i].spans == "" for i in range(120))
 
 
+def test_pii_terms_in_copies_far_away_and_without_the_address(spark):
+    """Copies count once, terms are weighed over the whole document, and a term that discloses an address goes from documents without it too."""
+    filler = [(i, f"the weather of day {i} was fine for the people") for i in range(120)]
+    far = "the weather was fine for the people " * 4
+    a, b, c = f"zanzibarro said {far} ann@site.example.org", f"ann@site.example.org {far} asked zanzibarro", f"zanzibarro {far}"
+    rows = filler + [(1000 + i, a) for i in range(40)] + [(2000, b), (2001, c)]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any("zanzibarro" in r.clean_text for r in got.values()) and got[2001].spans == "remove:0:10"
+    assert all(got[i].spans == "" for i in range(120))
+
+
+def test_pii_terms_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        w = [f"w{int(x)}" for x in rng.zipf(1.3, 12) % 400]
+        rows.append((i, " ".join(w + [f"10.0.0.{w[0][1:]}"] * (i % 4 == 0 and int(w[0][1:]) < 200) + w[:2])))
+    rows += [(1000 + i, rows[4 * i][1]) for i in range(40)]
+    texts = {t: (set(re.findall(r"[a-z0-9]+", t)), set(re.findall(r"10\.0\.0\.[0-9]+", t))) for _, t in rows}
+    df, dfe, co, action = defaultdict(int), defaultdict(int), defaultdict(int), {}
+    for terms, es in texts.values():
+        for t in terms:
+            df[t] += 1
+        for e in es:
+            dfe[e] += 1
+            for t in terms:
+                co[e, t] += 1
+    for (e, t), k in co.items():
+        if k >= 2 and k / df[t] >= 0.2 and np.log2(k / df[t] / (dfe[e] / len(texts))) >= 4:
+            action[t] = "remove" if k / df[t] >= 0.5 else action.get(t, "generalise")
+    assert {"remove", "generalise"} == set(action.values())
+    for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        ips = [m.span() for m in re.finditer(r"10\.0\.0\.[0-9]+", r.text)]
+        words = [(m.start(), f"{action[m.group()]}:{m.start()}:{m.end()}") for m in re.finditer(r"[a-z0-9]+", r.text) if m.group() in action and not any(x < m.end() and m.start() < y for x, y in ips)]
+        assert r.spans == ",".join(x for _, x in sorted(words + [(x, f"ip:{x}:{y}") for x, y in ips]))
+
+
 def test_packing(spark, docs, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
