@@ -4,7 +4,7 @@ Normalising: lower case; lines that only state a copyright, date or placeholder
 line structure becomes a single space. A text whose digest is known is that licence.
 
 Defined cases: null, empty or blank texts have a null digest and no licence; ties can't occur, for each digest has one licence; repeated rows each get their own
-result. The known digests are a table of the licences given, a few hundred rows at most, and so are broadcast.
+result. The known digests are a table of the licences given, some 30 rows (the README lists them), and so are broadcast.
 Input columns named like an output column are replaced.
 """
 
@@ -75,6 +75,25 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 For more information, please refer to <https://unlicense.org>""",
 }
 
+#: Title lines under which the texts above are also found.
+TITLES = {"mit": ("MIT License", "The MIT License", "The MIT License (MIT)"), "isc": ("ISC License", "The ISC License"), "0bsd": ("BSD Zero Clause License", "Zero-Clause BSD"), "zlib": ("zlib License", "The zlib License"), "unlicense": ("The Unlicense",)}
+#: Canonical digests of whole texts, with their title lines, as Debian ships them in /usr/share/common-licenses.
+DIGESTS = {
+    "apache-2.0": "a25108bb2a7592eb614f54132dc9be69971c066b3dd2f4b95667a32b7ac6023a",
+    "artistic-1.0-perl": "fbc334165194bdb8cae46748e156fb862b599ccd7e42ed7fcaf26f2ee748f6d4",
+    "cc0-1.0": "400db3ed80e146737970d3ff856f201f0206119c2851164504a236a6893f845a",
+    "gfdl-1.2": "ec41757a603550a39b6a0b221eb419e045761356ace6399fe33c5004b3dd2f75",
+    "gfdl-1.3": "41e106d5833c8c0bfe43ee86605cc5676050dee29a56f06232ded63b727ccfa0",
+    "gpl-1.0": "3008aba6a825fea7063f6ec6d7d37d1712edfe54cd951eac67d70a8dd7acb5e8",
+    "gpl-2.0": "957b110b50ace3ac63aabb7ba5b42c3b0eed42a0b490d375fad9c16e0ae78380",
+    "gpl-3.0": "27ae8f7bea7f1e9c70cdd8514363667331ffed8c83a6f1a44d89226d9956e0f6",
+    "lgpl-2.0": "396f24f7a4206c92995544d0fa61f3d81286253b26caded52aeba4d355b3a416",
+    "lgpl-2.1": "2e86d487cab5a3fe7ae507ac02a75ae8683fd9f1123054ec1391e6107e31a0d1",
+    "lgpl-3.0": "7d6e51c6bb80fc7a025c16e64157adf9c280c58dee4c4b2bf73e596166a2a08f",
+    "mpl-1.1": "8cc6d1beb23fe20fdf2b3de8bbacaa59f05b06fcbcfa10af4c6c81d94392d322",
+    "mpl-2.0": "ca224562002813cbe8f65139977ba57727787b33c498229d87d3ae11c4b05197",
+}
+
 COPYRIGHT_LINE = r"(?m)^[\x20\x09-\x0D]*(?:copyright|\(c\)|©)[^\n]*$"
 OWN = ["canonical_digest", "license_id"]
 
@@ -92,8 +111,11 @@ def canonical(text: Column) -> Column:
 
 
 def known(spark: SparkSession, licenses: dict[str, str] = LICENSES) -> DataFrame:
-    rows = spark.createDataFrame([(k, v) for k, v in licenses.items()], "license_id string, body string")
-    return rows.select("license_id", F.sha2(canonical(F.col("body")), 256).alias("__digest"))
+    bodies = [(k, v) for k, v in licenses.items()] + [(k, f"{x}\n\n{v}") for k, v in licenses.items() if v == LICENSES.get(k) for x in TITLES.get(k, ())]
+    rows = spark.createDataFrame(bodies, "license_id string, body string").select("license_id", F.sha2(canonical(F.col("body")), 256).alias("__digest"))
+    if licenses is not LICENSES:
+        return rows
+    return rows.union(spark.createDataFrame(list(DIGESTS.items()), rows.schema))
 
 
 def license_scan(df: DataFrame, text: str = "text", licenses: dict[str, str] = LICENSES) -> DataFrame:

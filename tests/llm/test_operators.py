@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -228,6 +229,18 @@ def test_license(spark, odd):
     assert license_digest.license_scan(odd).count() == len(ODD)
 
 
+def test_license_titles_and_long_texts(spark):
+    rows = [(1, "MIT License\n\nCopyright (c) 2024 Ann\n\n" + license_digest.LICENSES["mit"]), (2, "ISC License\n\nCopyright 2024 Ann\n\n" + license_digest.LICENSES["isc"])]
+    want = {1: "mit", 2: "isc"}
+    for i, (name, licence) in enumerate({"Apache-2.0": "apache-2.0", "GPL-3": "gpl-3.0", "MPL-2.0": "mpl-2.0"}.items(), 3):
+        path = Path("/usr/share/common-licenses", name)
+        if path.exists():
+            rows.append((i, path.read_text()))
+            want[i] = licence
+    got = license_digest.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license_id for r in got} == want
+
+
 def test_quality_model(spark, docs, odd):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     many = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
