@@ -13,6 +13,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Most rows that a side may have to be broadcast; beyond it Spark shuffles the join.
 BROADCAST_ROWS = 500_000
+#: Most bytes of Parquet files of such a side.
+BROADCAST_BYTES = 16 << 20
+#: Slots of the bitmap of keys.
+SLOTS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +42,37 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     # Spark drops a shuffle's files once the driver's JVM has collected its plan, which may take half an hour on a large heap
     spark.sparkContext._jvm.java.lang.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
-def small_side(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `bound` rows, which are counted; else df, to be shuffled. Use on cut tables."""
-    return F.broadcast(df) if df.count() <= bound else df
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables that cut returned. Only for tables that no plan still to run reads."""
+    for x in tables:
+        jvm = x.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(x._cut_path)
+        path.getFileSystem(x.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def holds(df: DataFrame) -> bool:
+    """Whether df has a row."""
+    return df.limit(1).count() > 0
+
+
+def small_side(df: DataFrame, bound: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a cut table, with a broadcast hint if it has at most `bound` rows, which are counted, and at most `most` bytes of Parquet; else df, to be shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most and df.count() <= bound else df
+
+
+def may_hold(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose column may be among keys (cut, longs spread like hashes); few others. A bitmap of SLOTS slots, 64 a row, is broadcast: at most SLOTS / 64 rows,
+    1,048,576, whatever the input. Where it fills up it only saves less."""
+    slot = lambda c: f"pmod({c}, {SLOTS}L)"
+    bits = keys.groupBy(F.expr(f"{slot(key)} div 64").alias("__word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({slot(key)} % 64 AS INT)))").alias("__bits"))
+    out = df.withColumn("__word", F.expr(f"{slot(column)} div 64")).join(F.broadcast(bits), "__word").filter(f"shiftright(__bits, CAST({slot(column)} % 64 AS INT)) & 1L = 1L")
+    return out.select(*df.columns)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

@@ -7,95 +7,110 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop, holds, may_hold
 
-#: Rounds of pivots before the pairs that are left are all compared, however many they are.
-PIVOT_ROUNDS = 12
-#: Slots of the filter of shared keys: 64 a row, so it has SLOTS / 64 = 262,144 rows at most, whatever the input, and may be broadcast.
-SLOTS = 1 << 24
+#: A bucket is searched pair by pair if its pairs of different components are at most so many times its members; beyond that by a prefix filter. Both miss none.
+PAIRS_A_MEMBER = 4
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp) for each id in edges (a, b); comp is the smallest id reachable. Alternates large and small stars until the edges stand still."""
+    """(id, comp) for each id in edges (a, b); comp is the smallest id reachable. Alternates large and small stars until each id has one edge, to its component's smallest."""
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    before = None
     while True:
+        sides = e.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("low")).union(e.select("b", F.lit(0), F.lit(1)))
+        if not holds(sides.groupBy("id").agg(F.sum("up").alias("up"), F.max("low").alias("low")).filter("up > 1 OR up = 1 AND low = 1")):
+            break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        e = cut(small, "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
+        last, e = e, cut(small, "edges")
+        drop(last)
+    out = cut(e.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct()), "components")
+    drop(e)
+    return out
 
 
 def shared_keys(entries: DataFrame) -> DataFrame:
-    """The rows of entries (key, id), each pair once, whose key occurs twice or more.
+    """(key, id, n) of the rows of entries (key, id), each pair once, whose key occurs n times, twice or more.
 
-    Keys are counted by partial aggregation, so a hot key is a row a task. Before entries are shuffled to the shared keys, a filter of fixed size drops most of
-    those whose key is alone; where it fills up it only saves less.
+    Keys are counted by partial aggregation, so a hot key is a row a task. Before entries are shuffled to the shared keys, most of those whose key is alone are dropped.
     """
-    keys = cut(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys")
-    slot = f"pmod(key, {SLOTS}L)"
-    bits = keys.groupBy(F.expr(f"{slot} div 64").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({slot} % 64 AS INT)))").alias("bits"))
-    may = entries.withColumn("word", F.expr(f"{slot} div 64")).join(F.broadcast(bits), "word").filter(f"shiftright(bits, CAST({slot} % 64 AS INT)) & 1L = 1L")
-    return may.select("key", "id").join(keys, "key")
+    keys = cut(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-keys")
+    out = cut(may_hold(entries, "key", keys, "key").join(keys, "key"), "buckets")
+    drop(keys)
+    return out
 
 
-def link_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of the links among ids that share a bucket. buckets: (key, id), keys with two ids or more. verify: the pairs (a, b) that are links.
+def link_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(id, comp) of the links among ids that share a bucket; ids without a link may be missing. Reads buckets (key, id, n: members of the key) and drops it.
 
-    In each round, two members of each bucket are its pivots, in the first round the smallest and largest id, later others by a hash of key and id; they are compared
-    with all members of other components and then leave the bucket. Rounds go on until the pairs that are left are few; then every two components that
-    still meet in a bucket are compared member by member. So any two members of a bucket are compared unless they are known to be connected: no link between
-    components is lost, and a bucket of near copies costs a few comparisons a member.
+    verify: the pairs (a, b) whose sets have a Jaccard similarity of percent or more. tokens: (id, size, token) of ids (id), each set's elements once.
+
+    First every member of a bucket is compared with the bucket's centre, its member that meets most others over all buckets. In a group of near copies that is a copy
+    with few changes, the same one in most buckets, so nearly all links are found by a few comparisons a member. What is left are members of different components
+    that still share a bucket and weren't compared: they are searched by `remaining`, which misses no link among them. So links are exact over all pairs that share a bucket.
     """
-    left = cut(buckets.select("key", "id").distinct(), "buckets")
-    comp: DataFrame | None = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        named = left.withColumn("comp", F.col("id")) if comp is None else left.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        named = named.withColumn("h", F.xxhash64(F.lit(turn), "key", "id") if turn else F.col("id"))
-        parts = named.groupBy("key", "comp").agg(F.min("h").alias("h1"), F.max("h").alias("h2"), F.min_by("id", "h").alias("lo"), F.max_by("id", "h").alias("hi"))
-        mixed = parts.groupBy("key").agg(F.count("*").alias("k"), F.min_by("lo", "h1").alias("lo"), F.max_by("hi", "h2").alias("hi")).filter("k > 1")
-        joined = cut(named.drop("h").join(mixed, "key"), "mixed")
-        rows, meets = joined.agg(F.count("*"), F.sum("k")).first()
-        if not rows:
-            break
-        pairs = _remaining(joined, comp, None if turn == PIVOT_ROUNDS else 2 * rows) if turn == PIVOT_ROUNDS or meets <= 6 * rows else None
-        last = pairs is not None
-        if not last:
-            ends = joined.select("id", "comp", F.explode(F.array("lo", "hi")).alias("p")).filter("id != p").distinct()
-            if comp is not None:
-                ends = ends.join(comp.select(F.col("id").alias("p"), F.col("comp").alias("pcomp")), "p", "left").filter("comp != coalesce(pcomp, p)")
-            pairs = ends.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        links = verify(pairs)
-        if comp is not None:
-            # a component's edges to its smallest id stand for all links so far
-            links = links.union(comp.filter("id != comp").select(F.col("id").alias("a"), F.col("comp").alias("b")))
-        comp = cut(components(links), "components")
-        if last:
-            break
-        left = joined.filter("id != lo AND id != hi").select("key", "id")
-    if comp is None:
-        return left.select("id", F.col("id").alias("comp")).limit(0)
+    central = buckets.groupBy("id").agg(F.sum(F.col("n") - 1).alias("meets"))
+    ranked = cut(buckets.select("key", "id").join(central, "id"), "ranked")
+    drop(buckets)
+    centres = cut(ranked.groupBy("key").agg(F.max(F.struct("meets", "id"))["id"].alias("centre")), "centres")
+    others = cut(ranked.select("key", "id").join(centres, "key").filter("id != centre"), "others")
+    drop(ranked, centres)
+    pairs = cut(others.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs")
+    comp = components(verify(pairs))
+    named = cut(others.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "named")
+    drop(others, pairs)
+    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("k"))
+    open_keys = cut(sizes.filter("k > 1").select("key", F.expr(f"members * members - squares <= {2 * PAIRS_A_MEMBER} * members").alias("few")), "open-keys")
+    held = cut(named.join(open_keys, "key"), "open-buckets")
+    drop(named, open_keys)
+    if not holds(held):
+        drop(held)
+        return comp
+    few = held.filter("few")
+    near = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.id < y.id AND x.comp != y.comp")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    rest = cut(held.filter("NOT few").select("id", "comp").distinct(), "rest")
+    if holds(rest):
+        near = near.union(remaining(rest, tokens, percent))
+    more = cut(verify(near), "more-links")
+    if holds(more):
+        own = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+        between = more.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        # each id's edge to the smallest of its component stands for the links found before
+        joined = components(between)
+        every = comp.union(between.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp")))
+        over = joined.select(F.col("id").alias("comp"), F.col("comp").alias("upper"))
+        out = cut(every.join(over, "comp", "left").select("id", F.coalesce("upper", "comp").alias("comp")), "components")
+        drop(comp, joined)
+        comp = out
+    drop(held, rest, more)
     return comp
 
 
-def _remaining(joined: DataFrame, comp: DataFrame | None, most: int | None) -> DataFrame | None:
-    """All pairs of members of two components that meet in a bucket; None if they are more than `most`, which is counted from the components' sizes first."""
-    held = joined.select("key", "comp").distinct()
-    meet = cut(held.alias("x").join(held.alias("y"), "key").filter("x.comp < y.comp").select(F.col("x.comp").alias("c"), F.col("y.comp").alias("d")).distinct(), "meet")
-    own = joined.select("id", "comp").distinct()
-    ids = cut(own if comp is None else own.union(comp.select("id", "comp").join(held.select("comp").distinct(), "comp").select("id", "comp")).distinct(), "meet-ids")
-    if most is not None:
-        size = ids.groupBy("comp").agg(F.count("*").alias("n"))
-        sizes = meet.join(size.select(F.col("comp").alias("c"), F.col("n").alias("nc")), "c").join(size.select(F.col("comp").alias("d"), F.col("n").alias("nd")), "d")
-        if (sizes.agg(F.sum(F.col("nc") * F.col("nd"))).first()[0] or 0) > most:
-            return None
-    pairs = meet.join(ids.select(F.col("id").alias("u"), F.col("comp").alias("c")), "c").join(ids.select(F.col("id").alias("v"), F.col("comp").alias("d")), "d")
-    return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+def remaining(rest: DataFrame, tokens: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Pairs (a, b) of ids of different components in rest (id, comp), among them all whose sets have a Jaccard similarity of percent or more.
+
+    A prefix filter: tokens are ordered by how many of these sets hold them, the rarest first. Two similar sets have a token in common among the first
+    size - percent * size + 1 of each, and at their first common token enough tokens must follow on both sides. A set whose rarest tokens are its own is
+    dropped without meeting any other. Sides of one component never meet: of each token's list, only what lies outside its most frequent component is matched with it.
+    """
+    each = cut(tokens(rest.select("id")).join(rest, "id").select("id", "comp", "size", "token"), "tokens")
+    often = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    held = each.join(often, "token").groupBy("id", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    alone = F.col("size") - F.size("held")
+    keep = F.col("size") - F.expr(f"({percent} * size + 99) div 100") + 1 - alone
+    first = held.select("id", "comp", "size", alone.alias("alone"), F.slice("held", F.lit(1), F.greatest(keep, F.lit(0)).cast("int")).alias("first"))
+    prefix = cut(first.select("id", "comp", "size", "alone", F.posexplode("first").alias("at", "t")).select("id", "comp", "size", (F.col("alone") + F.col("at")).alias("at"), F.col("t.token").alias("token")), "prefixes")
+    by = prefix.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    lists = by.groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("n", "comp"))["comp"].alias("main")).filter("k > 1").select("token", "main")
+    met = cut(prefix.join(lists, "token"), "lists")
+    left, right = met.filter("comp != main").alias("x"), met.alias("y")
+    fits = f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
+    enough = f"{100 + percent} * least(x.size - x.at, y.size - y.at) >= {percent} * (x.size + y.size)"
+    found = left.join(right, F.expr(f"x.token = y.token AND x.comp != y.comp AND (y.comp = x.main OR x.id < y.id) AND {fits} AND {enough}"))
+    out = cut(found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "remaining")
+    drop(each, prefix, met)
+    return out

@@ -10,8 +10,8 @@ which the document at the end is taken in part; so a source's taken words are it
 Scale: one aggregation by source, one by (source, bucket), where a bucket is a prefix of md5(id) that is lengthened as the largest source grows; running sums
 are windows over one bucket each, so that a source with a third of all rows is summed in many tasks. Only tables of sources are put in one task.
 
-Defined cases: a null text has size 0 and takes 0; null sources are one source, the last; null ids sort first in their bucket; repeated rows each take part; an
-empty table gives an empty result. Input columns named like an output column are replaced.
+Defined cases: a null text has size 0 and takes 0; null sources are one source, the last; null ids sort first in their bucket; repeated rows each take part; texts of
+any length count whole; an empty table gives an empty result. Input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1
 BUDGET, MAX_REPEAT = 1.5, 2
 #: Rows that a bucket holds on average at most.
 BUCKET_ROWS = 20_000
-OWN = ["size", "source_size", "target", "taken", "position", "passes", "second_position"]
+OWN = ["size", "source_size", "target", "taken", "position", "passes", "positions"]
 
 
 def segments(knots) -> list[tuple[float, float, float, float, float]]:
@@ -75,7 +75,7 @@ def targets(by_source: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_r
 
 
 def mix(df: DataFrame, id: str = "doc_id", source: str = "source", size: Column | None = None, text: str = "text", weights=WEIGHTS, schedules=SCHEDULES, budget: float = BUDGET, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """df with size, source_size, target, taken, passes (times that the document starts), position and second_position (null if it starts once or never)."""
+    """df with size, source_size, target, taken, passes (times that the document starts), position (of the first pass; null if there is none) and positions (of all)."""
     own = without(df, OWN)
     base = df.select((word_count(F.col(f"`{text}`")) if size is None else size).alias("__n"), F.col(f"`{source}`").alias("__source"), F.col(f"`{id}`").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("__row"))
     base = base.withColumn("__md5", F.md5(F.coalesce(F.col("__id").cast("string"), F.lit(""))))
@@ -99,21 +99,26 @@ def mix(df: DataFrame, id: str = "doc_id", source: str = "source", size: Column
     rest = F.least(F.greatest(words - full * F.col("__size") - start, F.lit(0)), F.col("__n"))
     out = joined.withColumn("__full", full).withColumn("__start", start).withColumn("__rest", rest).withColumn("__words", words)
     passes = F.when(F.col("__n") > 0, F.col("__full") + (F.col("__rest") > 0).cast("int")).otherwise(F.lit(0))
-    at = lambda k: F.when(F.col("passes") > k, F.round(inverted((F.col("__start") + F.lit(k) * F.col("__size")).cast("double") / F.col("__words"), F.col("__place"), schedules), 6))
+    at = lambda k: F.round(inverted((F.col("__start") + k * F.col("__size")).cast("double") / F.col("__words"), F.col("__place"), schedules), 6)
     out = out.withColumn("passes", passes.cast("int"))
+    positions = F.transform(F.when(F.col("passes") > 0, F.sequence(F.lit(0), F.col("passes") - 1)).otherwise(F.array().cast("array<int>")), at)
     return out.select(
-        "__row.*", F.col("__n").alias("size"), F.col("__size").alias("source_size"), F.col("__target").alias("target"), (F.col("__full") * F.col("__n") + F.col("__rest")).alias("taken"), "passes", at(0).alias("position"), at(1).alias("second_position"), F.col("__rest").alias("__partial")
-    )
+        "__row.*", F.col("__n").alias("size"), F.col("__size").alias("source_size"), F.col("__target").alias("target"), (F.col("__full") * F.col("__n") + F.col("__rest")).alias("taken"), "passes", positions.alias("positions"), F.col("__rest").alias("__partial")
+    ).withColumn("position", F.get("positions", F.lit(0)))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as training reads it: a row for each pass over a document, in the order of positions. A last, partial pass holds the words taken."""
-    mixed = mix(docs).filter("passes > 0")
-    rows = mixed.withColumn("__at", F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("k"), F.col("position").alias("p")), F.when(F.col("passes") > 1, F.struct(F.lit(1).alias("k"), F.col("second_position").alias("p")))))))
-    last = (F.col("__at.k") == F.col("passes") - 1) & (F.col("__partial") > 0) & (F.col("__partial") < F.col("size"))
-    head = F.when(last, cut_words(F.col("text"), F.col("__partial"))).otherwise(F.col("text"))
-    out = rows.withColumn("text", head).withColumn("n_chars", F.length("text").cast("long"))
-    return out.repartitionByRange(F.col("__at.p"), F.col("doc_id")).sortWithinPartitions(F.col("__at.p"), F.col("doc_id")).select(*docs.columns)
+    return passes_of(mix(docs)).select(*docs.columns)
+
+
+def passes_of(mixed: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """A row for each pass over each document of mix's result, range-sorted by position, the text of a last, partial pass cut to the words taken; n_chars is the text's length."""
+    rows = mixed.select("*", F.posexplode("positions").alias("__k", "__at"))
+    last = (F.col("__k") == F.col("passes") - 1) & (F.col("__partial") > 0) & (F.col("__partial") < F.col("size"))
+    head = F.when(last, cut_words(F.col(text), F.col("__partial"))).otherwise(F.col(text))
+    out = rows.withColumn(text, head).withColumn("n_chars", F.length(text).cast("long"))
+    return out.repartitionByRange(F.col("__at"), F.col(id), F.col("__k")).sortWithinPartitions(F.col("__at"), F.col(id), F.col("__k")).drop("__k", "__at")
 
 
 def cut_words(text: Column, n: Column) -> Column:
@@ -125,7 +130,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("__size0")), "mix-sizes")
     out = mix(sized, size=F.col("__size0"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "position").repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position", F.get("positions", F.lit(1)).alias("second_position")).repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id")
 
 
 SQL = rf"""
@@ -144,9 +149,10 @@ p AS (
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, CASE WHEN ss > 0 THEN words // ss ELSE 0 END AS full_passes FROM p),
-k AS (SELECT *, least(greatest(words - full_passes * ss - start, 0), size) AS rest, start::DOUBLE / words AS share FROM q),
+k AS (SELECT *, least(greatest(words - full_passes * ss - start, 0), size) AS rest, start::DOUBLE / words AS share, (start + ss)::DOUBLE / words AS again FROM q),
 v AS (SELECT *, CASE place WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS w0, CASE place WHEN 0 THEN -1.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS slope FROM k)
 SELECT doc_id, size, ss AS source_size, target, (full_passes * size + rest)::BIGINT AS taken,
-  CASE WHEN size > 0 AND (full_passes > 0 OR rest > 0) THEN round(2.0::DOUBLE * share / (w0 + sqrt(w0 * w0 + 2.0::DOUBLE * slope * share)), 6) END AS position
+  CASE WHEN size > 0 AND (full_passes > 0 OR rest > 0) THEN round(2.0::DOUBLE * share / (w0 + sqrt(w0 * w0 + 2.0::DOUBLE * slope * share)), 6) END AS position,
+  CASE WHEN size > 0 AND full_passes + (CASE WHEN rest > 0 THEN 1 ELSE 0 END) > 1 THEN round(2.0::DOUBLE * again / (w0 + sqrt(greatest(0.0::DOUBLE, w0 * w0 + 2.0::DOUBLE * slope * again))), 6) END AS second_position
 FROM v
 """

@@ -4,10 +4,12 @@ Two collections of 10 groups of 3 minhashes each are computed, 60 in all; table
 of 6 rows cost a tenth of the 600 minhashes that independent tables would take. Two documents meet if one group of either collection agrees: at similarity 0.8 with
 probability (1 - (1 - 0.8^3)^10)^2 = 0.998, at 0.05 with 2e-6. Candidates are confirmed on full shingle sets, links are joined to components by distributed stars.
 
-Equal shingle sets are one node before banding, so exact copies cost one aggregation row each. Buckets of near copies are searched by pivots (linking.py).
+Equal shingle sets are one node before banding, so exact copies cost one aggregation row each. Buckets of near copies are searched from their centres, and
+what is left by a prefix filter (linking.py).
 
 Defined cases: null, empty or blank texts have no shingles, link with nothing and are kept; a text with fewer words than a shingle is one shingle; rows
-without id are never linked and have a null component; each repeated row gets its own result row. Input columns named like an output column are replaced.
+without id are never linked and have a null component; each repeated row gets its own result row; different texts of one id are linked each for itself; texts of any length
+are taken whole; an empty table gives an empty result. Other input columns are left out by near_components and kept by stage.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_side, table, without
+from .common import cut, drop, holds, small_side, table
 from .linking import link_components, shared_keys
 
 GROUPS, ROWS = 10, 3
@@ -80,7 +82,7 @@ def digest(s: np.ndarray) -> bytes:
 
 
 def _signed(df: DataFrame, width: int) -> DataFrame:
-    """(id, n_shingles, digest, keys) of (id, text)."""
+    """(id, th, n_shingles, digest, keys) of (id, th, text)."""
 
     def run(batches):
         for b in batches:
@@ -90,57 +92,84 @@ def _signed(df: DataFrame, width: int) -> DataFrame:
                 n.append(len(s))
                 d.append(digest(s) if len(s) else None)
                 keys.append(group_keys(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "th", "n_shingles", "digest", "keys"])
 
-    return df.select("id", "text").mapInArrow(run, "id long, n_shingles long, digest binary, keys array<long>")
+    return df.select("id", "th", "text").mapInArrow(run, "id long, th long, n_shingles long, digest binary, keys array<long>")
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
-    """(id, s) of (id, text, digest), for the rows whose text has that digest."""
+    """(node, s) of (node, text, digest), for the rows whose text has that digest."""
 
     def run(batches):
         for b in batches:
-            ids, out = [], []
-            for i, x, d in zip(b.column("id").to_pylist(), b.column("text"), b.column("digest").to_pylist()):
+            nodes, out = [], []
+            for i, x, d in zip(b.column("node").to_pylist(), b.column("text"), b.column("digest").to_pylist()):
                 s = shingles(x.as_py(), width)
                 if digest(s) == d:
-                    ids.append(i)
+                    nodes.append(i)
                     out.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["node", "s"])
 
-    return df.select("id", "text", "digest").mapInArrow(run, "id long, s array<long>")
+    return df.select("node", "text", "digest").mapInArrow(run, "node long, s array<long>")
 
 
-def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of (doc_id, text), a row a row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(id, th, n_shingles, component, grp) of (doc_id, text), a row a row: th is a hash of the text, grp the number of the row's group, component the smallest id in it."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
     signed = cut(_signed(docs, width), "near-signed")
-    nodes = cut(signed.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "near-nodes")
+    own = signed.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    # numbers are drawn once, as the table is written; ids may repeat with other texts and so can't name the nodes
+    nodes = cut(own.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     tables = F.expr(f"transform(sequence(0, {GROUPS * GROUPS - 1}), t -> xxhash64(t, keys[t div {GROUPS}], keys[{GROUPS} + t % {GROUPS}]))")
-    buckets = cut(shared_keys(nodes.select(F.explode(tables).alias("key"), "id")), "near-buckets")
-    wanted = cut(buckets.select("id").distinct().join(nodes.select("id", "digest"), "id"), "near-wanted")
-    sets = cut(_sets(docs.join(small_side(wanted), "id"), width), "near-sets")
+    buckets = shared_keys(nodes.select(F.explode(tables).alias("key"), F.col("node").alias("id")))
+    wanted = cut(buckets.select(F.col("id").alias("node")).distinct().join(nodes.select("node", "id", "digest"), "node"), "near-wanted")
+    sets = cut(_sets(docs.join(small_side(wanted), "id"), width).dropDuplicates(["node"]), "near-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").filter("sa IS NOT NULL").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        full = full.filter(f"100 * least(size(sa), size(sb)) >= {percent} * greatest(size(sa), size(sb))").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        return full.filter(f"100 * both >= {percent} * (size(sa) + size(sb) - both)").select("a", "b").distinct()
+        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        full = full.filter(f"100 * least(size(sa), size(sb)) >= {percent} * greatest(size(sa), size(sb))")
+        # 100 * both >= percent * (size(sa) + size(sb) - both), with the intersection named once
+        return full.filter(f"{100 + percent} * size(array_intersect(sa, sb)) >= {percent} * (size(sa) + size(sb))").select("a", "b")
+
+    def tokens(ids: DataFrame) -> DataFrame:
+        held = sets.join(ids.withColumnRenamed("id", "node"), "node")
+        return held.select(F.col("node").alias("id"), F.size("s").cast("long").alias("size"), F.explode("s").alias("token"))
+
+    comp = link_components(buckets, verify, tokens, percent)
+    named = nodes.select("digest", "node", "id").join(comp.withColumnRenamed("id", "node"), "node", "left").select("digest", "id", F.coalesce("comp", "node").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("id").alias("component"))
+    by_digest = cut(named.join(least, "comp").select("digest", "component", F.col("comp").alias("grp")), "near-components")
+    own_id = F.col("id").isNotNull()
+    out = signed.drop("keys").join(by_digest, "digest", "left")
+    done = cut(out.select("id", "th", "n_shingles", F.when(own_id, F.coalesce("component", "id")).alias("component"), F.when(own_id, F.col("grp")).alias("grp")), "near-grouped")
+    drop(signed, nodes, wanted, sets, comp, by_digest)
+    return done
+
 
-    comp = link_components(buckets, verify)
-    named = nodes.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("component"))
-    out = signed.select("id", "n_shingles", "digest").join(named, "digest", "left")
-    return out.select(
-        F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), F.col("id").eqNullSafe(F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))).alias("kept")
-    )
+def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of (doc_id, text), a row a row."""
+    return grouped(docs, width, percent).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, five-word shingles at 0.8: that with the smallest id. Of rows that repeat this id, one stays."""
-    verdict = cut(near_components(docs).filter("NOT kept").select("doc_id").distinct(), "near-gone")
-    left = docs.join(small_side(verdict), "doc_id", "left_anti").select(*docs.columns)
-    if left.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        left = left.filter("doc_id IS NULL").union(left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return left
+    """One document of each group of near copies, five-word shingles at 0.8: that with the smallest id, and of texts that share this id in the group that with the smallest hash.
+
+    Of rows that repeat id and text the least by the other columns stays. Documents without words or without id stay.
+    """
+    found = grouped(docs)
+    rows = cut(found.filter("grp IS NOT NULL").groupBy("id", "th", "grp").agg(F.count("*").alias("times")), "near-rows")
+    drop(found)
+    stays = rows.groupBy("grp").agg(F.min(F.struct("id", "th")).alias("s")).select("grp", F.col("s.id").alias("sid"), F.col("s.th").alias("sth"))
+    verdict = cut(rows.join(stays, "grp").select(F.col("id").alias("__id"), F.col("th").alias("__th"), "times", (~((F.col("id") == F.col("sid")) & (F.col("th") == F.col("sth")))).alias("gone")).filter("gone OR times > 1"), "near-verdict")
+    drop(rows)
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
+    left = keyed.join(small_side(verdict.select("__id", "__th")), ["__id", "__th"], "left_anti").select(*docs.columns)
+    twice = verdict.filter("NOT gone")
+    if not holds(twice):
+        return left
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = keyed.join(twice.select("__id", "__th"), ["__id", "__th"], "left_semi").groupBy("__id", "__th").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return left.union(once.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Line-first quality rules: each line passes punctuation, navigation and boilerplate rules or goes; a document that loses too many words goes too.
 
 Defined cases: a null or empty text has no words, fails the base and is not kept. Blank lines are neither judged nor counted.
-Repeated rows are judged each alone. Input columns named like an output column are replaced.
+Repeated rows and null ids are judged each alone; texts of any length are taken whole; an empty table gives an empty result. Input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ BOILERPLATE_RE = re.compile("|".join(BOILERPLATE))
 BOILERPLATE_WORDS = 30
 #: A document goes if it loses more than this percentage of its words.
 MAX_LOST_PERCENT = 40
+#: Text that a worker judges and holds at a time.
+SLICE_BYTES = 2 << 20
 
 FIELDS = pa.struct(
     [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("lost_words", pa.int64()), ("kept", pa.bool_()), ("clean_text", pa.string())]
@@ -117,10 +119,52 @@ def quality_rules(df: DataFrame, text: str = "text", max_lost: int = MAX_LOST_PE
     return out if with_text else out.drop("clean_text")
 
 
+def kept_rows(df: DataFrame, max_lost: int = MAX_LOST_PERCENT) -> DataFrame:
+    """The rows (doc_id, text and more) that the rules keep, with the lines that passed as text and their length as n_chars, if that is a column.
+
+    Each text is judged once. A worker holds one slice of SLICE_BYTES, or one text if that is longer, and the clean texts of what is kept of it.
+    """
+    names = df.columns
+    at = [c.lower() for c in names]
+    text, chars = at.index("text"), at.index("n_chars") if "n_chars" in at else None
+
+    def run(batches):
+        for batch in batches:
+            start = 0
+            while start < len(batch):
+                n = slice_rows(batch.column(text), start)
+                part = batch.slice(start, n)
+                start += n
+                rows, clean = [], []
+                for i, x in enumerate(part.column(text)):
+                    verdict = judge(x.as_py(), max_lost)
+                    if verdict[7]:
+                        rows.append(i)
+                        clean.append(verdict[8])
+                if rows:
+                    columns = part.take(pa.array(rows, pa.int64())).columns
+                    columns[text] = pa.array(clean, columns[text].type)
+                    if chars is not None:
+                        columns[chars] = pa.array(list(map(len, clean)), pa.int64()).cast(columns[chars].type)
+                    yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def slice_rows(texts: pa.Array, start: int) -> int:
+    """How many rows from start hold SLICE_BYTES of text at most; one at least."""
+    total = n = 0
+    for x in texts.slice(start):
+        total += x.as_buffer().size if x.is_valid else 0
+        if n and total > SLICE_BYTES:
+            break
+        n += 1
+    return n
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, each with the lines that passed."""
-    out = quality_rules(docs).filter("kept")
-    return out.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("clean_text").cast("long")).select(*docs.columns)
+    return kept_rows(docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
