@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, holds, may_hold
@@ -34,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_keys(entries: DataFrame) -> DataFrame:
-    """(key, id, n) of the rows of entries (key, id), each pair once, whose key occurs n times, twice or more.
+    """entries (key, id and more), each pair of key and id once, with n, the times that the key occurs; those whose key occurs once are left out.
 
     Keys are counted by partial aggregation, so a hot key is a row a task. Before entries are shuffled to the shared keys, most of those whose key is alone are dropped.
     """
@@ -44,37 +44,44 @@ def shared_keys(entries: DataFrame) -> DataFrame:
     return out
 
 
-def link_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def link_components(
+    buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], percent: int, alike: Callable[[str, str], Column] | None = None, pairs_a_member: int = PAIRS_A_MEMBER
+) -> DataFrame:
     """(id, comp) of the links among ids that share a bucket; ids without a link may be missing. Reads buckets (key, id, n: members of the key) and drops it.
 
     verify: the pairs (a, b) whose sets have a Jaccard similarity of percent or more. tokens: (id, size, token) of ids (id), each set's elements once.
+    alike: whether two sketches (columns) may belong to such a pair; buckets then have a column sketch, a long, and other pairs aren't made.
 
     First every member of a bucket is compared with the bucket's centre, its member that meets most others over all buckets. In a group of near copies that is a copy
     with few changes, the same one in most buckets, so nearly all links are found by a few comparisons a member. What is left are members of different components
-    that still share a bucket and weren't compared: they are searched by `remaining`, which misses no link among them. So links are exact over all pairs that share a bucket.
+    that still share a bucket and weren't compared. Buckets in which these are few are searched pair by pair, which is linear in their members; the members of the others
+    are searched by `remaining`, which misses no link among them. So links are exact over all pairs that share a bucket.
     """
+    if alike is None:
+        buckets, alike = buckets.withColumn("sketch", F.lit(0).cast("long")), lambda a, b: F.lit(True)
     central = buckets.groupBy("id").agg(F.sum(F.col("n") - 1).alias("meets"))
-    ranked = cut(buckets.select("key", "id").join(central, "id"), "ranked")
-    drop(buckets)
-    centres = cut(ranked.groupBy("key").agg(F.max(F.struct("meets", "id"))["id"].alias("centre")), "centres")
-    others = cut(ranked.select("key", "id").join(centres, "key").filter("id != centre"), "others")
+    ranked = cut(buckets.select("key", "id", "sketch").join(central, "id"), "ranked")
+    if hasattr(buckets, "_cut_path"):
+        drop(buckets)
+    centres = cut(ranked.groupBy("key").agg(F.max(F.struct("meets", "id", "sketch")).alias("c")).select("key", F.col("c.id").alias("centre"), F.col("c.sketch").alias("of_centre")), "centres")
+    others = cut(ranked.select("key", "id", "sketch").join(centres, "key").filter("id != centre"), "others")
     drop(ranked, centres)
-    pairs = cut(others.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs")
+    pairs = cut(others.filter(alike("sketch", "of_centre")).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs")
     comp = components(verify(pairs))
-    named = cut(others.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "named")
+    named = cut(others.select("key", "id", "sketch").join(comp, "id", "left").select("key", "id", "sketch", F.coalesce("comp", "id").alias("comp")), "named")
     drop(others, pairs)
     sizes = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("k"))
-    open_keys = cut(sizes.filter("k > 1").select("key", F.expr(f"members * members - squares <= {2 * PAIRS_A_MEMBER} * members").alias("few")), "open-keys")
+    open_keys = cut(sizes.filter("k > 1").select("key", F.expr(f"members * members - squares <= {2 * pairs_a_member} * members").alias("few")), "open-keys")
     held = cut(named.join(open_keys, "key"), "open-buckets")
     drop(named, open_keys)
     if not holds(held):
         drop(held)
         return comp
     few = held.filter("few")
-    near = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.id < y.id AND x.comp != y.comp")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    rest = cut(held.filter("NOT few").select("id", "comp").distinct(), "rest")
+    near = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.id < y.id AND x.comp != y.comp") & alike("x.sketch", "y.sketch")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    rest = cut(held.filter("NOT few").select("id", "comp", "sketch").distinct(), "rest")
     if holds(rest):
-        near = near.union(remaining(rest, tokens, percent))
+        near = near.union(remaining(rest, tokens, percent, alike))
     more = cut(verify(near), "more-links")
     if holds(more):
         own = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
@@ -90,27 +97,27 @@ def link_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]
     return comp
 
 
-def remaining(rest: DataFrame, tokens: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Pairs (a, b) of ids of different components in rest (id, comp), among them all whose sets have a Jaccard similarity of percent or more.
+def remaining(rest: DataFrame, tokens: Callable[[DataFrame], DataFrame], percent: int, alike: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs (a, b) of ids of different components in rest (id, comp, sketch) whose sketches are alike, among them all whose sets have a Jaccard similarity of percent or more.
 
     A prefix filter: tokens are ordered by how many of these sets hold them, the rarest first. Two similar sets have a token in common among the first
     size - percent * size + 1 of each, and at their first common token enough tokens must follow on both sides. A set whose rarest tokens are its own is
     dropped without meeting any other. Sides of one component never meet: of each token's list, only what lies outside its most frequent component is matched with it.
     """
-    each = cut(tokens(rest.select("id")).join(rest, "id").select("id", "comp", "size", "token"), "tokens")
+    each = cut(tokens(rest.select("id")).join(rest, "id").select("id", "comp", "sketch", "size", "token"), "tokens")
     often = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    held = each.join(often, "token").groupBy("id", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    held = each.join(often, "token").groupBy("id", "comp", "sketch", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
     alone = F.col("size") - F.size("held")
     keep = F.col("size") - F.expr(f"({percent} * size + 99) div 100") + 1 - alone
-    first = held.select("id", "comp", "size", alone.alias("alone"), F.slice("held", F.lit(1), F.greatest(keep, F.lit(0)).cast("int")).alias("first"))
-    prefix = cut(first.select("id", "comp", "size", "alone", F.posexplode("first").alias("at", "t")).select("id", "comp", "size", (F.col("alone") + F.col("at")).alias("at"), F.col("t.token").alias("token")), "prefixes")
+    first = held.select("id", "comp", "sketch", "size", alone.alias("alone"), F.slice("held", F.lit(1), F.greatest(keep, F.lit(0)).cast("int")).alias("first"))
+    prefix = cut(first.select("id", "comp", "sketch", "size", "alone", F.posexplode("first").alias("at", "t")).select("id", "comp", "sketch", "size", (F.col("alone") + F.col("at")).alias("at"), F.col("t.token").alias("token")), "prefixes")
     by = prefix.groupBy("token", "comp").agg(F.count("*").alias("n"))
     lists = by.groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("n", "comp"))["comp"].alias("main")).filter("k > 1").select("token", "main")
     met = cut(prefix.join(lists, "token"), "lists")
     left, right = met.filter("comp != main").alias("x"), met.alias("y")
     fits = f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
     enough = f"{100 + percent} * least(x.size - x.at, y.size - y.at) >= {percent} * (x.size + y.size)"
-    found = left.join(right, F.expr(f"x.token = y.token AND x.comp != y.comp AND (y.comp = x.main OR x.id < y.id) AND {fits} AND {enough}"))
+    found = left.join(right, F.expr(f"x.token = y.token AND x.comp != y.comp AND (y.comp = x.main OR x.id < y.id) AND {fits} AND {enough}") & alike("x.sketch", "y.sketch"))
     out = cut(found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "remaining")
     drop(each, prefix, met)
     return out
