@@ -51,9 +51,10 @@ TRIMAP_FG, TRIMAP_BG, ALPHA_FG, ALPHA_BG, MASK_FG = 192, 63, 250, 5, 128
 COMPOSE_PROFILE = {"name": "note", "canvas": (1280, 670), "safe_area": (0.0, 108.0, 1280.0, 454.0), "max_bytes": 10_000_000, "displays": {"pc_list": 192, "mobile_list": 144}}
 ASPECT_TOLERANCE = 0.005
 
-#: Setting names of batch items that queries use.
+# Setting names of batch items that queries use.
 SETTING_KEYS = ["input", "output", "bbox", "normalized", "tolerance", "border", "cleanup", "feather", "despill", "refine", "matting", "optimize", "auto", "profile", "canvas", "fill_ratio", "format", "quality", "effort", "fail_on", "max_bytes", "rotate", "derive", "naming"]
 
+# Codes that make a cut unusable.
 FATAL_CODES = ["FOREGROUND_TOO_SMALL", "FOREGROUND_TOO_LARGE", "NOT_SEPARABLE", "SUBJECT_TOUCHES_EDGE"]
 
 

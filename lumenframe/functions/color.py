@@ -74,6 +74,11 @@ def flatten(src, alpha, base) -> Column:
     return F.round(c(src) * a + c(base) * (F.lit(1.0) - a)).cast("int")
 
 
+def mix_u8(src: str, alpha: str, base: str) -> Column:
+    """A channel mixed onto an opaque base in integers, rounded to the nearest; arguments are SQL expressions."""
+    return F.expr(f"CAST((({src}) * ({alpha}) + ({base}) * (255 - ({alpha})) + 127) div 255 AS INT)")
+
+
 def despill(obs, alpha, bg) -> Column:
     """The foreground's channel behind a partly transparent pixel; pixels with alpha under 16 or 255 stay."""
     a = c(alpha) / F.lit(255.0)

@@ -37,9 +37,9 @@ def canvas_plan(w: Column, h: Column, cw: Column, ch: Column, fill: Column) -> C
 
 
 def bbox_to_pixels(box: list[Column], w: Column, h: Column) -> list[Column]:
-    """Floors of the minima and ceilings of the maxima, in bounds, not empty."""
-    x1, y1 = [F.least(F.greatest(F.floor(v), F.lit(0)), n - 1).cast("int") for v, n in ((box[0], w), (box[1], h))]
-    x2, y2 = [F.least(F.greatest(F.ceil(v), lo), n - 1).cast("int") for v, n, lo in ((box[2], w, x1), (box[3], h, y1))]
+    """Floors of the minima, at least 0, and ceilings of the maxima, in bounds but never below the minima."""
+    x1, y1 = [F.greatest(F.floor(v), F.lit(0)).cast("int") for v in box[:2]]
+    x2, y2 = [F.greatest(F.least(F.greatest(F.ceil(v), F.lit(0)), n - 1), lo).cast("int") for v, n, lo in ((box[2], w, x1), (box[3], h, y1))]
     return [x1, y1, x2, y2]
 
 

@@ -77,7 +77,9 @@ def xml_escape(s: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    return F.when(n < 1_000, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1_000_000, F.concat(F.round(n / 1e3, 1).cast("string"), F.lit(" kB"))).otherwise(F.concat(F.round(n / 1e6, 1).cast("string"), F.lit(" MB")))
+    """Bytes, KB or MB of 1024, with one decimal; ties go to the even digit."""
+    tenth = lambda unit: F.format_string("%.1f", F.bround(n / F.lit(unit), 1))
+    return F.when(n >= 1 << 20, F.concat(tenth(float(1 << 20)), F.lit(" MB"))).when(n >= 1 << 10, F.concat(tenth(float(1 << 10)), F.lit(" KB"))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def closest(key: Column, allowed: list[str]) -> Column:

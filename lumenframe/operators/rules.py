@@ -13,19 +13,29 @@ MEASURES = [m[0] for m in C.METRICS]
 
 
 def warnings(measures: DataFrame) -> DataFrame:
-    """Adds warnings, an array of code and the measure that fired it, in the order of rules."""
+    """Adds warnings, an array of code and the measure that fired it, in the order of rules.
+
+    Contact with the edge is read as a failed background, not a cropped subject, where the background isn't uniform, no box was given and a subject was found with confidence.
+    No parameter separates a subject whose difference is below the background's own median difference; that is judged only where something was cut and something left.
+    """
+    uneven = F.col("uniformity") < C.MIN_UNIFORMITY
+    touches = F.col("touches_edge") == 1
+    misread = touches & uneven & (F.col("bbox_given") == 0) & (F.col("subject_high") == 1)
+    cut = (F.col("foreground_ratio") > C.FOREGROUND_MIN) & (F.col("foreground_ratio") < C.FOREGROUND_MAX)
 
     def warn(code: str, measure: str, fires: Column) -> Column:
         return F.when(fires, F.struct(F.lit(code).alias("code"), F.col(measure).alias("actual")))
 
     rules = [
+        warn("LOW_UNIFORMITY", "uniformity", uneven),
         warn("FOREGROUND_TOO_SMALL", "foreground_ratio", F.col("foreground_ratio") < C.FOREGROUND_MIN),
         warn("FOREGROUND_TOO_LARGE", "foreground_ratio", F.col("foreground_ratio") > C.FOREGROUND_MAX),
-        warn("NOT_SEPARABLE", "separability", F.col("separability") < 12),
-        warn("SUBJECT_TOUCHES_EDGE", "touches_edge", F.col("touches_edge") == 1),
+        warn("BBOX_RECOMMENDED", "foreground_ratio", misread),
+        warn("SUBJECT_TOUCHES_EDGE", "touches_edge", touches & ~misread),
         warn("HALO_REMAINS", "halo_ratio", F.col("halo_ratio") > C.HALO_WARN),
         warn("CONTOUR_ROUGH", "contour_roughness", F.col("contour_roughness") > C.ROUGH_WARN),
         warn("RIM_CONTAMINATED", "rim_contamination", F.col("rim_contamination") > C.RIM_WARN),
+        warn("NOT_SEPARABLE", "separability", cut & (F.col("separability") < F.col("residual_p50"))),
     ]
     return measures.withColumn("warnings", F.array_compact(F.array(*rules)))
 
@@ -34,15 +44,23 @@ OPERATORS = (">=", "<=", ">", "<")
 
 
 def parse_fail_on(specs: DataFrame, *keep: str) -> DataFrame:
-    """A row for each token of `spec`: metric, operator, threshold or the error. A flag has neither operator nor threshold."""
-    tokens = specs.select(*keep, F.explode(F.transform(F.split("spec", ","), lambda x: F.trim(x))).alias("token"))
+    """A row for each token of `spec`: metric, operator, threshold or the error. A flag has neither operator nor threshold; `default` stands for the default rule.
+
+    Empty tokens and a second rule on a metric are errors.
+    """
+    tokens = specs.select(*keep, "spec", F.posexplode(F.transform(F.split("spec", ","), lambda x: F.trim(x))).alias("pos", "token"))
     op = F.coalesce(*[F.when(F.col("token").contains(o), F.lit(o)) for o in OPERATORS])
     t = tokens.withColumn("op", op).withColumn("name", F.when(F.col("op").isNull(), F.col("token")).otherwise(F.trim(F.element_at(F.split(F.col("token"), "[<>]=?"), 1))))
     t = t.withColumn("value", F.when(F.col("op").isNotNull(), F.trim(F.element_at(F.split(F.col("token"), "[<>]=?", 2), 2)))).withColumn("number", F.col("value").try_cast("double"))
     known = F.broadcast(C.metrics(specs.sparkSession).select(F.col("metric").alias("name"), "is_flag", "low", "high"))
     t = t.join(known, "name", "left")
+    before = F.row_number().over(Window.partitionBy(*keep, "spec", "name").orderBy("pos"))
+    t = t.withColumn("nth", before)
     error = (
-        F.when(F.col("is_flag").isNull(), "unknown_metric")
+        F.when(F.col("token") == "", "empty")
+        .when((F.col("nth") > 1) & (F.col("is_flag").isNotNull() | (F.col("token") == "default")), "duplicate")
+        .when(F.col("token") == "default", F.lit(None))
+        .when(F.col("is_flag").isNull(), "unknown_metric")
         .when(F.col("op").isNull() & ~F.col("is_flag"), "needs_threshold")
         .when(F.col("op").isNull(), F.lit(None))
         .when(F.col("is_flag"), "flag_takes_no_threshold")
@@ -68,19 +86,26 @@ def touched(op: Column, actual: Column, threshold: Column) -> Column:
 def gate(measures: DataFrame, rules: DataFrame) -> DataFrame:
     """Explicit rules: pass, fail or unmeasurable, which is no pass."""
     j = long_form(measures, MEASURES).join(F.broadcast(rules.filter("metric IS NOT NULL").select("metric", "operator", "threshold")), "metric")
-    status = F.when(F.col("actual").isNull(), "unmeasurable").when(touched(F.col("operator"), F.col("actual"), F.col("threshold")), "fail").otherwise("pass")
+    status = F.when(F.col("actual").isNull() | F.isnan("actual") | (F.abs("actual") == float("inf")), "unmeasurable").when(touched(F.col("operator"), F.col("actual"), F.col("threshold")), "fail").otherwise("pass")
     return j.select("id", "metric", "operator", "threshold", "actual", status.alias("status"))
 
 
 def default_gate(measures: DataFrame, metrics: DataFrame) -> DataFrame:
-    """The default rule: a check for each calibrated code of each metric."""
+    """The default rule: a check for each calibrated code of each metric. A number that wasn't measured is unmeasurable, whatever fired."""
     fired = F.transform("warnings", lambda w: w["code"])
     own = measures.select("id", fired.alias("fired"), F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("actual")) for n in MEASURES])).alias("m")).select("id", "fired", "m.metric", "m.actual")
-    j = own.join(F.broadcast(metrics.select("metric", F.explode("codes").alias("code"))), "metric")
-    status = F.when(F.array_contains(F.col("fired"), F.col("code")), "fail").when(F.col("actual").isNull(), "unmeasurable").otherwise("pass")
+    j = own.join(F.broadcast(metrics.select("metric", "is_flag", F.explode("codes").alias("code"))), "metric")
+    status = F.when(~F.col("is_flag") & F.col("actual").isNull(), "unmeasurable").when(F.array_contains(F.col("fired"), F.col("code")), "fail").otherwise("pass")
     return j.select("id", "metric", "code", status.alias("status"))
 
 
+def evaluate(measures: DataFrame, rules: DataFrame, metrics: DataFrame) -> DataFrame:
+    """All checks of a parsed specification: an explicit rule takes the place of the default rule's checks of its metric."""
+    explicit = gate(measures, rules.filter("metric != 'default'")).select("id", "metric", F.lit(None).cast("string").alias("code"), "status")
+    left = metrics.join(F.broadcast(rules.select("metric")), "metric", "left_anti").join(F.broadcast(rules.filter("metric = 'default'").select(F.lit(True).alias("asked"))))
+    return explicit.union(default_gate(measures, left))
+
+
 def compose_gate(layers: DataFrame, names: list[str], lowest: set[str]) -> DataFrame:
     """The worst of each metric over an id's layers, against the calibrated threshold; not measured anywhere is skipped."""
     worst = layers.groupBy("id").agg(*[(F.min if n in lowest else F.max)(n).alias(n) for n in names])

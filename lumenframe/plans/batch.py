@@ -40,15 +40,27 @@ SELECT *, CASE WHEN failed > 0 THEN 4 WHEN rejected > 0 THEN 5 ELSE 0 END AS exi
 
 
 def set_fill(spark: SparkSession, d: str) -> DataFrame:
-    """The set's target is the interpolating median of its items' occupancy; each item's fill is scaled to it and clamped."""
-    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.expr("CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE (o_orderkey * 37 % 900 + 100) / 1000.0D END").alias("occupancy"))
-    m = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list("occupancy")).alias("a")).select("o_custkey", stats.middle_median(F.col("a")).alias("target"))
-    fill = F.col("target") * 0.85 / F.col("occupancy")
-    return o.join(m, "o_custkey").select("id", F.round("target", 6).alias("target"), F.round(F.when(fill > 1, 1.0).otherwise(fill) + 1e-9, 6).alias("fill"), (fill > 1).alias("clamped"))
+    """The set's target is the interpolating median of its items' occupancy, 1 at most; sets aligned by height ask more of wide content, which may be beyond the canvas."""
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.expr("CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE (o_orderkey * 37 % 900 + 100) / 1000.0D END").alias("occupancy"), F.expr("CAST(200 + o_orderkey * 37 % 900 AS DOUBLE)").alias("cw"), F.expr("CAST(200 + o_orderkey * 53 % 700 AS DOUBLE)").alias("ch"))
+    m = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list("occupancy")).alias("a")).select("o_custkey", F.least(stats.middle_median(F.col("a")), F.lit(1.0)).alias("target"))
+    by_height = F.col("target") * F.greatest(F.lit(1.0), F.lit(800.0) * F.col("cw") / (F.lit(1000.0) * F.col("ch")))
+    j = o.join(m, "o_custkey").withColumn("fill", F.when(F.col("o_custkey") % 2 == 0, by_height).otherwise(F.col("target")))
+    return j.select("id", F.round("target", 6).alias("target"), F.round("fill", 6).alias("fill"), (F.col("fill") > 1).alias("beyond"))
 
 
-SET_SQL = """WITH o AS (SELECT o_custkey, o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE (o_orderkey * 37 % 900 + 100) / 1000.0::DOUBLE END AS occupancy FROM orders), m AS (SELECT o_custkey, median(occupancy) AS target FROM o GROUP BY o_custkey)
-SELECT id, round(target, 6) AS target, round(CASE WHEN target * 0.85::DOUBLE / occupancy > 1 THEN 1.0::DOUBLE ELSE target * 0.85::DOUBLE / occupancy END + 1e-9::DOUBLE, 6) AS fill, target * 0.85 / occupancy > 1 AS clamped FROM o JOIN m USING (o_custkey)"""
+SET_SQL = """WITH o AS (SELECT o_custkey, o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE (o_orderkey * 37 % 900 + 100) / 1000.0::DOUBLE END AS occupancy, (200 + o_orderkey * 37 % 900)::DOUBLE AS cw, (200 + o_orderkey * 53 % 700)::DOUBLE AS ch FROM orders),
+m AS (SELECT o_custkey, CASE WHEN median(occupancy) > 1 THEN 1.0::DOUBLE ELSE median(occupancy) END AS target FROM o GROUP BY o_custkey),
+f AS (SELECT id, target, CASE WHEN o_custkey % 2 = 0 THEN target * greatest(1.0::DOUBLE, 800.0::DOUBLE * cw / (1000.0::DOUBLE * ch)) ELSE target END AS fill FROM o JOIN m USING (o_custkey))
+SELECT id, round(target, 6) AS target, round(fill, 6) AS fill, fill > 1 AS beyond FROM f"""
+
+
+def byte_sizes(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("o_orderkey") * 7919 % 3_000_000
+    return table(spark, d, "orders").select("o_orderkey", text.human_bytes(n).alias("size"), text.human_bytes(F.col("o_orderkey") % 2000).alias("small"))
+
+
+_HUMAN = "CASE WHEN {n} >= 1048576 THEN printf('%.1f MB', {n} / 1048576.0::DOUBLE) WHEN {n} >= 1024 THEN printf('%.1f KB', {n} / 1024.0::DOUBLE) ELSE ({n})::VARCHAR || ' B' END"
+BYTES_SQL = f"SELECT o_orderkey, {_HUMAN.format(n='(o_orderkey * 7919 % 3000000)')} AS size, {_HUMAN.format(n='(o_orderkey % 2000)')} AS small FROM orders"
 
 
 def output_collisions(spark: SparkSession, d: str) -> DataFrame:
@@ -121,8 +133,9 @@ def digests(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.sha2("html", 256).alias("sha256"), _adler32("html").alias("adler32"))
 
 
-DIGESTS_SQL = """WITH p AS (SELECT page_id, substr(url, 1, 200) AS u FROM pages), c AS (SELECT page_id, u, unnest(range(1, length(u) + 1)) AS i FROM p), s AS (SELECT page_id, u, sum(ascii(substr(u, i::INT, 1)))::BIGINT AS t, sum((length(u) - i + 1) * ascii(substr(u, i::INT, 1)))::BIGINT AS w FROM c GROUP BY ALL)
-SELECT page_id, sha256(u) AS sha256, ((length(u) + w) % 65521) * 65536 + (1 + t) % 65521 AS adler32 FROM s"""
+DIGESTS_SQL = """WITH p AS (SELECT page_id, html, hex(encode(html)) AS x FROM pages), c AS (SELECT page_id, unnest(range(1, length(x) // 2 + 1)) AS i, x FROM p),
+s AS (SELECT page_id, count(*) AS n, sum(('0x' || substr(x, (2 * i - 1)::INT, 2))::INT)::BIGINT AS t, sum((length(x) // 2 - i + 1) * ('0x' || substr(x, (2 * i - 1)::INT, 2))::INT)::BIGINT AS w FROM c GROUP BY page_id)
+SELECT p.page_id, CASE WHEN html IS NOT NULL THEN sha256(html) END AS sha256, CASE WHEN html IS NOT NULL THEN ((coalesce(n, 0) + coalesce(w, 0)) % 65521) * 65536 + (1 + coalesce(t, 0)) % 65521 END AS adler32 FROM p LEFT JOIN s ON s.page_id = p.page_id"""
 
 
 def latest_reviews(spark: SparkSession, d: str) -> DataFrame:
@@ -135,35 +148,66 @@ LATEST_SQL = "SELECT image, event_id, event_type, versions FROM (SELECT user_id
 
 
 def review_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").selectExpr("event_id", "event_id % 5 AS code", "CASE WHEN event_id % 3 = 0 THEN 'hit' WHEN event_id % 3 = 1 THEN 'miss' END AS verdict", "CAST(pmod(event_id * 7919, 1000) AS DOUBLE) / 1000.0D AS score")
+    """Regions of images with a warning code, a score, a rectangle, a person's verdict and one suggested by a known truth, either of which may be missing."""
+    e = table(spark, d, "events")
+    hit = "CASE WHEN event_id % 3 = 0 THEN 2000 + 8 * (event_id * 7919 % 1000) ELSE 10 * (event_id * 7919 % 1000) END / 10000.0D"
+    suggest = "CASE event_id % 7 WHEN 0 THEN 'hit' WHEN 1 THEN 'miss' END"
+    return e.selectExpr("event_id", "user_id AS image", "event_id % 5 AS code", "CASE WHEN event_id % 3 = 0 THEN 'hit' WHEN event_id % 3 = 1 THEN 'miss' END AS verdict", f"{suggest} AS suggest", f"{hit} AS score", "event_id % 40 AS x1", "event_id * 3 % 40 AS y1", "event_id % 40 + 10 AS x2", "event_id * 3 % 40 + 8 AS y2")
+
 
+def label_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rectangles that a person drew for a kind of fault; labels of the whole image match nothing."""
+    return table(spark, d, "events").filter("event_id % 4 = 1 AND event_id % 11 != 0").selectExpr("event_id AS label_id", "user_id AS image", "event_id div 4 % 5 AS code", "event_id * 5 % 40 AS lx1", "event_id * 7 % 40 AS ly1", "event_id * 5 % 40 + 12 AS lx2", "event_id * 7 % 40 + 12 AS ly2")
 
-_RR = "r AS (SELECT event_id, event_id % 5 AS code, CASE WHEN event_id % 3 = 0 THEN 'hit' WHEN event_id % 3 = 1 THEN 'miss' END AS verdict, (event_id * 7919 % 1000)::DOUBLE / 1000.0::DOUBLE AS score FROM events)"
+
+_RR = """r AS (SELECT event_id, user_id AS image, event_id % 5 AS code, CASE WHEN event_id % 3 = 0 THEN 'hit' WHEN event_id % 3 = 1 THEN 'miss' END AS verdict, CASE event_id % 7 WHEN 0 THEN 'hit' WHEN 1 THEN 'miss' END AS suggest,
+  CASE WHEN event_id % 3 = 0 THEN 2000 + 8 * (event_id * 7919 % 1000) ELSE 10 * (event_id * 7919 % 1000) END / 10000.0::DOUBLE AS score, event_id % 40 AS x1, event_id * 3 % 40 AS y1, event_id % 40 + 10 AS x2, event_id * 3 % 40 + 8 AS y2 FROM events)"""
+_LR = "lb AS (SELECT event_id AS label_id, user_id AS image, event_id // 4 % 5 AS code, event_id * 5 % 40 AS lx1, event_id * 7 % 40 AS ly1, event_id * 5 % 40 + 12 AS lx2, event_id * 7 % 40 + 12 AS ly2 FROM events WHERE event_id % 4 = 1 AND event_id % 11 <> 0)"
+_MEET = "lx1 < x2 AND x1 < lx2 AND ly1 < y2 AND y1 < ly2"
 
 
 def calibration(spark: SparkSession, d: str) -> DataFrame:
-    """By warning code: regions, hits, misses, unjudged, and the lower median of scores."""
-    g = review_rows(spark, d).groupBy("code").agg(F.count("*").alias("regions"), F.count_if(F.col("verdict") == "hit").alias("hit"), F.count_if(F.col("verdict") == "miss").alias("miss"), F.count_if(F.col("verdict").isNull()).alias("unjudged"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY score)").alias("lower_median"), F.min("score").alias("low"), F.max("score").alias("high"))
-    return g
+    """By warning code: regions by what decides them, first a person's verdict, then a label of the code's kind that overlaps, then the truth; labels and how many a region meets; spread of hits' scores.
+
+    Scores have four decimals, so the quantile's partial results are bounded."""
+    r, lb = review_rows(spark, d).alias("r"), label_rows(spark, d).alias("lb")
+    meet = F.expr(f"r.image = lb.image AND r.code = lb.code AND {_MEET}")
+    implied = r.filter("verdict IS NULL").join(lb, meet, "left_semi").select("event_id", F.lit(True).alias("implied"))
+    j = review_rows(spark, d).join(implied, "event_id", "left").withColumn("state", F.expr("CASE WHEN verdict IS NOT NULL THEN verdict WHEN implied THEN 'implied' WHEN suggest IS NOT NULL THEN concat('truth_', suggest) ELSE 'unjudged' END"))
+    names = ["hit", "miss", "implied", "truth_hit", "truth_miss", "unjudged"]
+    score = "CASE WHEN state IN ('hit', 'implied', 'truth_hit') THEN score END"
+    by = j.withColumn("hit_score", F.expr(score)).groupBy("code").agg(F.count("*").alias("regions"), *[F.count_if(F.col("state") == n).alias(n) for n in names], F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY hit_score)").alias("lower_median"), F.min("hit_score").alias("low"), F.max("hit_score").alias("high"))
+    matched = lb.join(r, meet, "left_semi").groupBy("code").agg(F.count("*").alias("matched"))
+    labels = label_rows(spark, d).groupBy("code").agg(F.count("*").alias("labels"))
+    return by.join(labels, "code", "left").join(matched, "code", "left").withColumns({"labels": F.coalesce("labels", F.lit(0)), "matched": F.coalesce("matched", F.lit(0))})
 
 
-CALIBRATION_SQL = f"WITH {_RR} SELECT code, count(*) AS regions, count(*) FILTER (verdict = 'hit') AS hit, count(*) FILTER (verdict = 'miss') AS miss, count(*) FILTER (verdict IS NULL) AS unjudged, quantile_disc(score, 0.5) AS lower_median, min(score) AS low, max(score) AS high FROM r GROUP BY code"
+CALIBRATION_SQL = f"""WITH {_RR}, {_LR}, met AS (SELECT r.event_id, lb.label_id, r.verdict FROM r JOIN lb ON r.image = lb.image AND r.code = lb.code WHERE {_MEET}), i AS (SELECT DISTINCT event_id FROM met WHERE verdict IS NULL), ml AS (SELECT DISTINCT label_id FROM met),
+s AS (SELECT r.code, CASE WHEN verdict IS NOT NULL THEN verdict WHEN i.event_id IS NOT NULL THEN 'implied' WHEN suggest IS NOT NULL THEN 'truth_' || suggest ELSE 'unjudged' END AS state, score FROM r LEFT JOIN i ON i.event_id = r.event_id),
+g AS (SELECT code, count(*) AS regions, {", ".join(f"count(*) FILTER (state = '{n}') AS {n}" for n in ("hit", "miss", "implied", "truth_hit", "truth_miss", "unjudged"))},
+  quantile_disc(CASE WHEN state IN ('hit', 'implied', 'truth_hit') THEN score END, 0.5) AS lower_median, min(CASE WHEN state IN ('hit', 'implied', 'truth_hit') THEN score END) AS low, max(CASE WHEN state IN ('hit', 'implied', 'truth_hit') THEN score END) AS high FROM s GROUP BY code),
+l AS (SELECT code, count(*) AS labels, count(ml.label_id) AS matched FROM lb LEFT JOIN ml ON ml.label_id = lb.label_id GROUP BY code)
+SELECT g.*, coalesce(labels, 0) AS labels, coalesce(matched, 0) AS matched FROM g LEFT JOIN l ON l.code = g.code"""
 
 
 def propose_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """The threshold with the best F1 for each code, over midpoints of neighbouring scores; the lower wins ties. Counts are taken by distinct score first, and summed by a window over those."""
+    """For each code the midpoint of neighbouring scores with the best F1, the lower of equals, if it beats keeping all regions. Counts are taken by distinct score
+    first, of four decimals, and summed by a window over those."""
     r = review_rows(spark, d).filter("verdict IS NOT NULL")
     by = r.groupBy("code", "score").agg(F.count_if(F.col("verdict") == "hit").alias("h"), F.count_if(F.col("verdict") == "miss").alias("m"))
     w = Window.partitionBy("code")
     up = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    t = by.withColumns({"tp": F.sum("h").over(up), "fp": F.sum("m").over(up), "all": F.sum("h").over(w), "below": F.lag("score").over(w.orderBy("score"))}).filter("below IS NOT NULL")
-    t = t.withColumn("threshold", F.round((F.col("score") + F.col("below")) / 2, 6)).withColumn("f1", F.round(F.col("tp") * 2.0 / (F.col("tp") + F.col("fp") + F.col("all")), 6))
-    return t.withColumn("rn", F.row_number().over(w.orderBy(F.desc("f1"), "threshold"))).filter("rn = 1").select("code", "threshold", "f1")
+    t = by.withColumns({"kept_hits": F.sum("h").over(up), "kept_misses": F.sum("m").over(up), "hits": F.sum("h").over(w), "misses": F.sum("m").over(w), "below": F.lag("score").over(w.orderBy("score"))})
+    t = t.filter("below IS NOT NULL AND hits > 0 AND misses > 0").withColumn("threshold", F.round((F.col("score") + F.col("below")) / 2, 5))
+    t = t.withColumn("f1", F.round(F.col("kept_hits") * 2.0 / (F.col("kept_hits") + F.col("kept_misses") + F.col("hits")), 9)).withColumn("now", F.round(F.col("hits") * 2.0 / (F.col("hits") * 2 + F.col("misses")), 9))
+    best = t.filter("f1 > now").withColumn("rn", F.row_number().over(w.orderBy(F.desc("f1"), "threshold"))).filter("rn = 1")
+    return best.select("code", "threshold", "kept_hits", "kept_misses")
 
 
 THRESHOLD_SQL = f"""WITH {_RR}, b AS (SELECT code, score, count(*) FILTER (verdict = 'hit') AS h, count(*) FILTER (verdict = 'miss') AS m FROM r WHERE verdict IS NOT NULL GROUP BY code, score),
-t AS (SELECT code, score, sum(h) OVER u AS tp, sum(m) OVER u AS fp, sum(h) OVER (PARTITION BY code) AS al, lag(score) OVER (PARTITION BY code ORDER BY score) AS below FROM b WINDOW u AS (PARTITION BY code ORDER BY score DESC)),
-f AS (SELECT code, round((score + below) / 2, 6) AS threshold, round(tp * 2.0::DOUBLE / (tp + fp + al), 6) AS f1 FROM t WHERE below IS NOT NULL) SELECT code, threshold, f1 FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY f1 DESC, threshold) AS rn FROM f) WHERE rn = 1"""
+t AS (SELECT code, score, sum(h) OVER u AS kept_hits, sum(m) OVER u AS kept_misses, sum(h) OVER (PARTITION BY code) AS hits, sum(m) OVER (PARTITION BY code) AS misses, lag(score) OVER (PARTITION BY code ORDER BY score) AS below FROM b WINDOW u AS (PARTITION BY code ORDER BY score DESC)),
+f AS (SELECT code, round((score + below) / 2, 5) AS threshold, kept_hits::BIGINT AS kept_hits, kept_misses::BIGINT AS kept_misses, round(kept_hits * 2.0::DOUBLE / (kept_hits + kept_misses + hits), 9) AS f1, round(hits * 2.0::DOUBLE / (hits * 2 + misses), 9) AS now FROM t WHERE below IS NOT NULL AND hits > 0 AND misses > 0)
+SELECT code, threshold, kept_hits, kept_misses FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY f1 DESC, threshold) AS rn FROM f WHERE f1 > now) WHERE rn = 1"""
 
 
 def prune_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -188,12 +232,13 @@ OPEN_SQL = "SELECT user_id, count(*) FILTER (event_id % 4 <> 0) AS open, count(*
 
 
 def stale_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """Images seen in the first half of events and never in the second: an anti-join."""
+    """Snapshots that the list referenced before and no longer does: an anti-join of two lists."""
     e = table(spark, d, "events")
-    return e.filter("event_id % 2 = 0").select("user_id").distinct().join(e.filter("event_id % 2 = 1").select("user_id").distinct(), "user_id", "left_anti")
+    before, now = e.filter("event_id % 97 = 0").select(F.concat_ws("-", "user_id", "event_type").alias("snapshot")), e.filter("event_id % 89 = 0").select(F.concat_ws("-", "user_id", "event_type").alias("snapshot"))
+    return before.distinct().join(now.distinct(), "snapshot", "left_anti")
 
 
-STALE_SQL = "SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 1)"
+STALE_SQL = """SELECT DISTINCT user_id || '-' || event_type AS snapshot FROM events WHERE event_id % 97 = 0 AND user_id || '-' || event_type NOT IN (SELECT user_id || '-' || event_type FROM events WHERE event_id % 89 = 0)"""
 
 
 def derivations(spark: SparkSession, d: str) -> DataFrame:
@@ -209,6 +254,7 @@ QUERIES = {
     "batch_items": (batch_items, ITEMS_SQL),
     "batch_rollup": (batch_rollup, ROLLUP_SQL),
     "set_fill": (set_fill, SET_SQL),
+    "byte_sizes": (byte_sizes, BYTES_SQL),
     "output_collisions": (output_collisions, COLLISIONS_SQL),
     "names": (names, NAMES_SQL),
     "closest_keys": (closest_keys, CLOSEST_SQL),

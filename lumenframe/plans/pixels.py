@@ -77,16 +77,17 @@ OPAQUE_SQL = f"WITH {SCENE_SQL} SELECT image_id, min(x) AS x1, min(y) AS y1, max
 
 
 def visible_bounds(spark: SparkSession, d: str) -> DataFrame:
-    px = scene_px(spark, d).select("image_id", "x", "y", "a", *[color.flatten(c, "a", F.lit(255)).alias(f"f{c}") for c in "rgb"], F.lit(255).alias("w"))
+    """Bounds of what shows on white: pixels that are opaque, or whose mix with white differs from it visibly."""
+    px = scene_px(spark, d).select("image_id", "x", "y", "a", *[color.mix_u8(c, "a", "255").alias(f"f{c}") for c in "rgb"], F.lit(255).alias("w"))
     d = color.with_lab(color.with_lab(px, ("fr", "fg", "fb"), "p"), ("w", "w", "w"), "q").withColumn("d", color.delta_e("p", "q"))
-    on = (F.col("a") >= 128) & (F.col("d") > 5)
+    on = (F.col("a") >= 128) | (F.col("d") > 5)
     own = d.groupBy("image_id").agg(*[f(F.when(on, F.col(c))).alias(n) for n, f, c in (("x1", F.min, "x"), ("y1", F.min, "y"), ("x2", F.max, "x"), ("y2", F.max, "y"))], F.count_if(on).alias("n"))
     return own.filter("n > 0")
 
 
-_flat = [f"round({c} * (a / 255.0::DOUBLE) + 255 * (1 - a / 255.0::DOUBLE))::INT" for c in "rgb"]
+_flat = [f"(({c} * a + 255 * (255 - a) + 127) // 255)::INT" for c in "rgb"]
 VISIBLE_SQL = f"""WITH {SCENE_SQL}, f AS (SELECT image_id, x, y, a, {", ".join(f"{e} AS f{c}" for e, c in zip(_flat, "rgb"))} FROM scene_px)
-SELECT image_id, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS n FROM f WHERE a >= 128 AND {delta_sql(("fr", "fg", "fb"), ("255", "255", "255"))} > 5 GROUP BY image_id"""
+SELECT image_id, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS n FROM f WHERE a >= 128 OR {delta_sql(("fr", "fg", "fb"), ("255", "255", "255"))} > 5 GROUP BY image_id"""
 
 
 def colour_scalars(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +113,7 @@ SCALARS_SQL = f"""WITH {SCENE_SQL} SELECT image_id, x, round({_L[0]}, 4) + 0.0::
   round(r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE, 4) AS luma, round({_lum}, 6) AS luminance, round(1.05 / ({_lum} + 0.05), 4) AS contrast, r AS back,
   round((r / 255.0::DOUBLE) * (r / 255.0::DOUBLE) * (3 - 2 * (r / 255.0::DOUBLE)), 6) AS smooth,
   CASE WHEN (x * 11) % 256 BETWEEN 16 AND 254 THEN least(greatest(round((r - (1 - ((x * 11) % 256) / 255.0::DOUBLE) * 240) / (((x * 11) % 256) / 255.0::DOUBLE)), 0), 255)::INT ELSE r END AS despilled
-  FROM scene_px WHERE y = 12"""
+  FROM scene_px"""
 
 
 def window_ops(spark: SparkSession, d: str) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import geometry
+from ..functions.color import delta_e, with_lab
 from ..operators import pixels as P
 from ..operators import rules as R
 from ..sources.scenes import SIDE, scene_px, table
-from .pixels import BORDER_SQL, SCENE_SQL, STATS_SQL
+from .pixels import BORDER_SQL, SCENE_SQL, STATS_SQL, delta_sql
 
 # Measures of the parts by integer formulas, so that every verdict occurs: null means not measured.
 MEASURES_EXPR = {
@@ -23,15 +24,23 @@ MEASURES_EXPR = {
     "touches_edge": "CASE WHEN p_partkey % 19 = 0 THEN 1.0D ELSE 0.0D END",
 }
 NAMES = list(MEASURES_EXPR)
-M_SQL = "m AS (SELECT p_partkey AS id, " + ", ".join(f"{e.replace('0D', '0::DOUBLE')} AS {n}" for n, e in MEASURES_EXPR.items()) + " FROM part)"
+# What warnings read besides the metrics.
+CONTEXT_EXPR = {
+    "uniformity": "0.80D + (p_partkey * 11 % 200) / 1000.0D",
+    "residual_p50": "(p_partkey * 17 % 200) / 10.0D",
+    "bbox_given": "CASE WHEN p_partkey % 2 = 0 THEN 1.0D ELSE 0.0D END",
+    "subject_high": "CASE WHEN p_partkey % 3 = 0 THEN 0.0D ELSE 1.0D END",
+}
+M_SQL = "m AS (SELECT p_partkey AS id, " + ", ".join(f"{e.replace('0D', '0::DOUBLE')} AS {n}" for n, e in (MEASURES_EXPR | CONTEXT_EXPR).items()) + " FROM part)"
 
 
 def measures(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), *[F.expr(e).alias(n) for n, e in MEASURES_EXPR.items()])
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), *[F.expr(e).alias(n) for n, e in (MEASURES_EXPR | CONTEXT_EXPR).items()])
 
 
-CODES_SQL = """list_filter([CASE WHEN foreground_ratio < 0.01 THEN 'FOREGROUND_TOO_SMALL' END, CASE WHEN foreground_ratio > 0.99 THEN 'FOREGROUND_TOO_LARGE' END, CASE WHEN separability < 12 THEN 'NOT_SEPARABLE' END,
-  CASE WHEN touches_edge = 1 THEN 'SUBJECT_TOUCHES_EDGE' END, CASE WHEN halo_ratio > 0.10 THEN 'HALO_REMAINS' END, CASE WHEN contour_roughness > 0.16 THEN 'CONTOUR_ROUGH' END, CASE WHEN rim_contamination > 0.02 THEN 'RIM_CONTAMINATED' END], lambda x: x IS NOT NULL)"""
+CODES_SQL = """list_filter([CASE WHEN uniformity < 0.90::DOUBLE THEN 'LOW_UNIFORMITY' END, CASE WHEN foreground_ratio < 0.01 THEN 'FOREGROUND_TOO_SMALL' END, CASE WHEN foreground_ratio > 0.99 THEN 'FOREGROUND_TOO_LARGE' END,
+  CASE WHEN touches_edge = 1 THEN CASE WHEN uniformity < 0.90::DOUBLE AND bbox_given = 0 AND subject_high = 1 THEN 'BBOX_RECOMMENDED' ELSE 'SUBJECT_TOUCHES_EDGE' END END, CASE WHEN halo_ratio > 0.10 THEN 'HALO_REMAINS' END, CASE WHEN contour_roughness > 0.16 THEN 'CONTOUR_ROUGH' END, CASE WHEN rim_contamination > 0.02 THEN 'RIM_CONTAMINATED' END,
+  CASE WHEN foreground_ratio > 0.01 AND foreground_ratio < 0.99 AND separability < residual_p50 THEN 'NOT_SEPARABLE' END], lambda x: x IS NOT NULL)"""
 
 
 def warnings(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +49,7 @@ def warnings(spark: SparkSession, d: str) -> DataFrame:
 
 
 WARNINGS_SQL = f"""WITH {M_SQL}, c AS (SELECT *, {CODES_SQL} AS codes FROM m), u AS (SELECT *, unnest(codes) AS code, generate_subscripts(codes, 1) - 1 AS place FROM c)
-SELECT id, place::INT AS place, code, CASE code WHEN 'FOREGROUND_TOO_SMALL' THEN foreground_ratio WHEN 'FOREGROUND_TOO_LARGE' THEN foreground_ratio WHEN 'NOT_SEPARABLE' THEN separability WHEN 'SUBJECT_TOUCHES_EDGE' THEN touches_edge
+SELECT id, place::INT AS place, code, CASE code WHEN 'LOW_UNIFORMITY' THEN uniformity WHEN 'BBOX_RECOMMENDED' THEN foreground_ratio WHEN 'FOREGROUND_TOO_SMALL' THEN foreground_ratio WHEN 'FOREGROUND_TOO_LARGE' THEN foreground_ratio WHEN 'NOT_SEPARABLE' THEN separability WHEN 'SUBJECT_TOUCHES_EDGE' THEN touches_edge
   WHEN 'HALO_REMAINS' THEN halo_ratio WHEN 'CONTOUR_ROUGH' THEN contour_roughness ELSE rim_contamination END AS actual FROM u"""
 
 GATE = "halo_ratio>0.08, separability<=20,touches_edge,edge_width>=4,foreground_ratio<0.2"
@@ -65,7 +74,7 @@ def gate_default(spark: SparkSession, d: str) -> DataFrame:
 
 _CODE_SQL = "k AS (SELECT * FROM (VALUES " + ", ".join(f"('{m[0]}', {m[1]}, '{c}')" for m in C.METRICS for c in m[5]) + ") AS t(metric, place, code))"
 DEFAULT_SQL = f"""WITH {M_SQL}, c AS (SELECT id, {CODES_SQL} AS codes FROM m), {_LONG_SQL}, {_CODE_SQL}
-SELECT l.id, l.metric, k.code, CASE WHEN list_contains(codes, code) THEN 'fail' WHEN actual IS NULL THEN 'unmeasurable' ELSE 'pass' END AS status FROM l JOIN k USING (metric) JOIN c ON c.id = l.id"""
+SELECT l.id, l.metric, k.code, CASE WHEN actual IS NULL AND l.metric <> 'touches_edge' THEN 'unmeasurable' WHEN list_contains(codes, code) THEN 'fail' ELSE 'pass' END AS status FROM l JOIN k USING (metric) JOIN c ON c.id = l.id"""
 
 
 def gate_verdict(spark: SparkSession, d: str) -> DataFrame:
@@ -75,6 +84,16 @@ def gate_verdict(spark: SparkSession, d: str) -> DataFrame:
 VERDICT_SQL = f"WITH g AS ({GATE_SQL}) SELECT id, bool_and(status = 'pass') AS passed, count(*) FILTER (status = 'unmeasurable') AS unmeasurable FROM g GROUP BY id"
 
 
+def gate_combined(spark: SparkSession, d: str) -> DataFrame:
+    """The default rule with an explicit one in place of its check of the halo."""
+    rules = R.parse_fail_on(spark.createDataFrame([("default, halo_ratio>0.05",)], "spec string"))
+    return R.evaluate(R.warnings(measures(spark, d)), rules, C.metrics(spark))
+
+
+COMBINED_SQL = f"""WITH g AS ({DEFAULT_SQL}), {M_SQL} SELECT id, metric, code, status FROM g WHERE metric <> 'halo_ratio'
+UNION ALL SELECT id, 'halo_ratio', NULL, CASE WHEN halo_ratio IS NULL THEN 'unmeasurable' WHEN halo_ratio > 0.05 THEN 'fail' ELSE 'pass' END FROM m"""
+
+
 def fail_on_parse(spark: SparkSession, d: str) -> DataFrame:
     """Gate specifications made of table values, with the reason of refusal."""
     spec = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("concat(element_at(array('halo_ratio', 'separability', 'touches_edge', 'colour', 'foreground_ratio'), 1 + CAST(p_partkey % 5 AS INT)), element_at(array('>', '<=', '', '<', '>='), 1 + CAST(p_partkey % 4 AS INT)), CASE WHEN p_partkey % 6 = 0 THEN '' ELSE CAST(p_size / 25.0D AS STRING) END)").alias("spec"))
@@ -103,7 +122,7 @@ def compose_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 COMPOSE_SQL = """WITH y AS (SELECT l_orderkey AS id, CASE WHEN l_quantity > 25 THEN l_discount * 10 ELSE 0.0 END::DOUBLE AS text_overflow, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 3 + l_tax * 50 END::DOUBLE AS text_contrast,
-  l_discount AS text_obscured, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_tax / 3 END::DOUBLE AS layer_overlap FROM lineitem WHERE l_orderkey % 10 = 0),
+  l_discount AS text_obscured, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_tax / 3 END::DOUBLE AS layer_overlap FROM lineitem),
 g AS (SELECT id, max(text_overflow) AS text_overflow, min(text_contrast) AS text_contrast, max(text_obscured) AS text_obscured, max(layer_overlap) AS layer_overlap FROM y GROUP BY id),
 l AS (SELECT id, 'text_overflow' AS metric, text_overflow AS worst, '>' AS op, 0.0::DOUBLE AS t FROM g UNION ALL SELECT id, 'text_contrast', text_contrast, '<', 4.5 FROM g UNION ALL SELECT id, 'text_obscured', text_obscured, '>', 0.10 FROM g UNION ALL SELECT id, 'layer_overlap', layer_overlap, '>', 0.02 FROM g)
 SELECT id, metric, round(worst, 6) AS worst, CASE WHEN worst IS NULL THEN 'skipped' WHEN (op = '>' AND worst > t) OR (op = '<' AND worst < t) THEN 'fail' ELSE 'pass' END AS status FROM l"""
@@ -157,19 +176,22 @@ LINT_VERDICT_SQL = f"WITH g AS ({LINT_SQL}) SELECT id, profile, bool_and(status
 
 
 def scene_lint(spark: SparkSession, d: str) -> DataFrame:
-    """Border colour, fill and alpha of each scene against the profile that asks for white and 85 %."""
+    """Border colour, its difference to white, fill and alpha of each scene against the profile that asks for white and 85 %."""
     px = scene_px(spark, d)
     bg = P.background(P.border(px, SIDE))
     stats = P.mask_stats(P.mask_of(px, bg), SIDE)
     alpha = px.groupBy("image_id").agg((F.min("a") < 255).alias("has_alpha"))
+    white = with_lab(bg.withColumn("white", F.lit(255)), ("bg_r", "bg_g", "bg_b"), "p")
+    bg = with_lab(white, ("white", "white", "white"), "q").withColumn("background_delta", F.round(delta_e("p", "q"), 4)).select(*bg.columns, "background_delta")
     j = bg.join(stats, "image_id").join(alpha, "image_id")
     fill = F.round(F.greatest((F.col("x2") - F.col("x1") + 1) / 24.0, (F.col("y2") - F.col("y1") + 1) / 24.0), 4)
-    return j.select("image_id", "bg_r", "uniformity", fill.alias("fill_ratio"), "has_alpha", (~F.col("has_alpha") & (F.col("uniformity") >= 0.9) & (fill >= 0.85)).alias("passed"))
+    return j.select("image_id", "bg_r", "uniformity", "background_delta", fill.alias("fill_ratio"), "has_alpha", (~F.col("has_alpha") & (F.col("background_delta") <= C.BACKGROUND_TOLERANCE) & (fill >= 0.85)).alias("passed"))
 
 
+_WHITE_DELTA = f"round({delta_sql(('bg_r', 'bg_g', 'bg_b'), ('255', '255', '255'))}, 4)"
 SCENE_LINT_SQL = f"""WITH b AS ({BORDER_SQL}), s AS ({STATS_SQL}), {SCENE_SQL}, a AS (SELECT image_id, min(a) < 255 AS has_alpha FROM scene_px GROUP BY image_id)
-SELECT image_id, bg_r, uniformity, round(greatest((x2 - x1 + 1) / 24.0::DOUBLE, (y2 - y1 + 1) / 24.0::DOUBLE), 4) AS fill_ratio, has_alpha,
-  NOT has_alpha AND uniformity >= 0.9 AND round(greatest((x2 - x1 + 1) / 24.0::DOUBLE, (y2 - y1 + 1) / 24.0::DOUBLE), 4) >= 0.85 AS passed FROM b JOIN s USING (image_id) JOIN a USING (image_id)"""
+SELECT image_id, bg_r, uniformity, {_WHITE_DELTA} AS background_delta, round(greatest((x2 - x1 + 1) / 24.0::DOUBLE, (y2 - y1 + 1) / 24.0::DOUBLE), 4) AS fill_ratio, has_alpha,
+  NOT has_alpha AND {_WHITE_DELTA} <= 2.0 AND round(greatest((x2 - x1 + 1) / 24.0::DOUBLE, (y2 - y1 + 1) / 24.0::DOUBLE), 4) >= 0.85 AS passed FROM b JOIN s USING (image_id) JOIN a USING (image_id)"""
 
 
 def candidate_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -236,9 +258,9 @@ def _fit(k: str, agg: str) -> str:
 GEOMETRY_SQL = f"""WITH f AS (SELECT p_partkey AS id, (300 + p_partkey * 91 % 11000)::INT AS width, CASE WHEN p_partkey % 3 = 0 THEN (300 + p_partkey * 91 % 11000)::INT ELSE (400 + p_partkey * 53 % 7000)::INT END AS height FROM part),
 a AS (SELECT *, ((id % 8) * 45)::DOUBLE AS ang, greatest(round(width * least(850.0::DOUBLE / width, 850.0::DOUBLE / height)), 1)::INT AS cw, greatest(round(height * least(850.0::DOUBLE / width, 850.0::DOUBLE / height)), 1)::INT AS ch FROM f),
 b AS (SELECT *, CASE WHEN ang % 90 = 0 THEN (ang / 90)::INT END AS turns, ceil(round(abs(width * cos(radians(ang))) + abs(height * sin(radians(ang))), 9))::INT AS bw, ceil(round(abs(width * sin(radians(ang))) + abs(height * cos(radians(ang))), 9))::INT AS bh,
-  least(greatest(floor(id % 40 - 3.5), 0), width - 1)::INT AS x1, least(greatest(floor(id % 30 + 0.25), 0), height - 1)::INT AS y1 FROM a)
+  greatest(floor(id % 40 - 3.5), 0)::INT AS x1, greatest(floor(id % 30 + 0.25), 0)::INT AS y1 FROM a)
 SELECT id, {_fit("contain", "least")}, {_fit("cover", "greatest")}, {_fit("exact", "")}, turns, CASE WHEN turns IS NULL THEN bw WHEN turns % 2 = 1 THEN height ELSE width END AS turn_w, CASE WHEN turns IS NULL THEN bh WHEN turns % 2 = 1 THEN width ELSE height END AS turn_h,
-  cw AS canvas_w, ch AS canvas_h, floor((1000 - cw) / 2.0::DOUBLE)::INT AS canvas_x, floor((1000 - ch) / 2.0::DOUBLE)::INT AS canvas_y, x1, y1, least(greatest(ceil(id % 900 + 50.5), x1), width - 1)::INT AS x2, least(greatest(ceil(id % 700 + 60.75), y1), height - 1)::INT AS y2,
+  cw AS canvas_w, ch AS canvas_h, floor((1000 - cw) / 2.0::DOUBLE)::INT AS canvas_x, floor((1000 - ch) / 2.0::DOUBLE)::INT AS canvas_y, x1, y1, greatest(least(ceil(id % 900 + 50.5), width - 1), x1)::INT AS x2, greatest(least(ceil(id % 700 + 60.75), height - 1), y1)::INT AS y2,
   least(greatest(round((id % 300 + 0.5::DOUBLE) * 256 / width - 0.5::DOUBLE), 0), 255)::INT AS near FROM b"""
 
 QUERIES = {
@@ -246,6 +268,7 @@ QUERIES = {
     "gate_explicit": (gate_explicit, GATE_SQL),
     "gate_default": (gate_default, DEFAULT_SQL),
     "gate_verdict": (gate_verdict, VERDICT_SQL),
+    "gate_combined": (gate_combined, COMBINED_SQL),
     "fail_on_parse": (fail_on_parse, FAIL_ON_SQL),
     "compose_gate": (compose_gate, COMPOSE_SQL),
     "lint": (lint, LINT_SQL),
