@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import batch, pixels, rasters, rules
+from . import batch, measures, pixels, rasters, rules
 
-_ALL = pixels.QUERIES | rules.QUERIES | batch.QUERIES | rasters.QUERIES
+_ALL = pixels.QUERIES | rules.QUERIES | batch.QUERIES | rasters.QUERIES | measures.QUERIES
 
 
 def queries() -> dict:
