@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import batch, measures, pixels, rasters, rules
+from . import batch, measures, pixels, rasters, reviews, rules
 
-_ALL = pixels.QUERIES | rules.QUERIES | batch.QUERIES | rasters.QUERIES | measures.QUERIES
+_ALL = pixels.QUERIES | rules.QUERIES | batch.QUERIES | rasters.QUERIES | measures.QUERIES | reviews.QUERIES
 
 
 def queries() -> dict:
