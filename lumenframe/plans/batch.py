@@ -42,10 +42,12 @@ SELECT *, CASE WHEN failed > 0 THEN 4 WHEN rejected > 0 THEN 5 ELSE 0 END AS exi
 def set_fill(spark: SparkSession, d: str) -> DataFrame:
     """The set's target is the interpolating median of its items' occupancy, 1 at most; sets aligned by height ask more of wide content, which may be beyond the canvas."""
     o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.expr("CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE (o_orderkey * 37 % 900 + 100) / 1000.0D END").alias("occupancy"), F.expr("CAST(200 + o_orderkey * 37 % 900 AS DOUBLE)").alias("cw"), F.expr("CAST(200 + o_orderkey * 53 % 700 AS DOUBLE)").alias("ch"))
-    m = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list("occupancy")).alias("a")).select("o_custkey", F.least(stats.middle_median(F.col("a")), F.lit(1.0)).alias("target"))
+    # least would take 1 where no item of the set has an occupancy
+    middle = stats.middle_median(F.col("a"))
+    m = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list("occupancy")).alias("a")).select("o_custkey", F.when(middle > 1, F.lit(1.0)).otherwise(middle).alias("target"))
     by_height = F.col("target") * F.greatest(F.lit(1.0), F.lit(800.0) * F.col("cw") / (F.lit(1000.0) * F.col("ch")))
     j = o.join(m, "o_custkey").withColumn("fill", F.when(F.col("o_custkey") % 2 == 0, by_height).otherwise(F.col("target")))
-    return j.select("id", F.round("target", 6).alias("target"), F.round("fill", 6).alias("fill"), (F.col("fill") > 1).alias("beyond"))
+    return j.select("id", stats.round_scaled(F.col("target"), 6).alias("target"), stats.round_scaled(F.col("fill"), 6).alias("fill"), (F.col("fill") > 1).alias("beyond"))
 
 
 SET_SQL = """WITH o AS (SELECT o_custkey, o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE (o_orderkey * 37 % 900 + 100) / 1000.0::DOUBLE END AS occupancy, (200 + o_orderkey * 37 % 900)::DOUBLE AS cw, (200 + o_orderkey * 53 % 700)::DOUBLE AS ch FROM orders),

@@ -5,7 +5,7 @@ import zlib
 
 import duckdb
 
-from lumenframe.plans import pixels, registry, rules
+from lumenframe.plans import batch, pixels, registry, rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +38,15 @@ def test_digests_take_the_whole_page(spark):
     pages = {r.page_id: r.html.encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = {r.page_id: (r.sha256, r.adler32) for r in registry.queries()["digests"](spark, SF).collect()}
     assert got == {k: (hashlib.sha256(v).hexdigest(), zlib.adler32(v)) for k, v in pages.items()}
+
+
+def test_set_fill_of_sets_without_occupancy_and_at_halves(spark, tmp_path):
+    # no item of customer 1 has one; order 83504 is at 0.9644875 but for the last bit
+    rows = [(13, 1), (26, 1), (7, 3), (8, 3)] + [(i, 8268) for i in (9349, 12572, 38771, 43090, 56445, 59876, 62066, 68970, 73294, 75218, 83504, 113180, 119518, 138727)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = sorted(con.execute(batch.SET_SQL).fetchall())
+    got = sorted(tuple(r) for r in registry.queries()["set_fill"](spark, str(tmp_path)).collect())
+    assert got == want
+    assert [r[1:] for r in got if r[0] in (13, 26)] == [(None, None, None)] * 2
