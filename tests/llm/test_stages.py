@@ -75,5 +75,42 @@ def test_linking_equals_brute_force(spark, pairs_a_member):
     assert {i: got.get(i, i) for i in sets} == {i: find(i) for i in sets} and len(set(map(find, sets))) > 1
 
 
+@pytest.mark.parametrize("pairs_a_member", [0, 1000])
+def test_linking_by_sketches_equals_brute_force(spark, pairs_a_member):
+    """Large, small and overlapping buckets: every pair that shares one and is alike by its sketch is decided, no other, and no text is asked for twice a row."""
+    rng, sets = np.random.default_rng(7), {}
+    for i in range(120):
+        s = list(range(100)) if i < 70 else list(sets[int(rng.integers(40, 70))])
+        for at in rng.choice(len(s), int(rng.integers(0, 16 if i >= 70 else 30)), replace=False):
+            s[at] = int(rng.integers(1000, 1400))
+        sets[i] = sorted(set(s))
+    sketch = {i: int(i % 40 > 1) for i in sets}
+    members = {1: range(60), 2: range(50, 110), 3: [3, 111], 4: [112, 113, 114, 5], 5: [115, 116, 117, 118, 119], 6: [0, 40, 80, 1, 41, 81]}
+    rows = [(k, i, sketch[i], len(m)) for k, m in members.items() for i in m]
+    df = common.cut(spark.createDataFrame(list(sets.items()), "id long, s array<long>"), "test-sets")
+    buckets = common.cut(spark.createDataFrame(rows, "key long, id long, sketch long, n long"), "test-buckets")
+
+    def verify(pairs):
+        assert pairs.count() == pairs.distinct().count()
+        both = pairs.join(df.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(df.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+        return both.filter("180 * size(array_intersect(x, y)) >= 80 * (size(x) + size(y))").select("a", "b")
+
+    def tokens(ids):
+        return df.join(ids, "id").select("id", F.size("s").cast("long").alias("size"), F.explode("s").alias("token"))
+
+    alike = lambda a, b: F.col(a) == F.col(b)
+    got = {r.id: r.comp for r in linking.link_sketched(buckets, verify, tokens, 80, alike, pairs_a_member).collect()}
+    comp = {i: i for i in sets}
+    for m in members.values():
+        for i in m:
+            for j in m:
+                x, y = set(sets[i]), set(sets[j])
+                if sketch[i] == sketch[j] and 100 * len(x & y) >= 80 * len(x | y) and comp[i] != comp[j]:
+                    low, high = sorted((comp[i], comp[j]))
+                    comp = {k: low if v == high else v for k, v in comp.items()}
+    # with pairs_a_member 0 the rest is searched over all buckets, so more may be found, never less
+    assert {i: got.get(i, i) for i in sets} == comp if pairs_a_member else all(got.get(i, i) == got.get(comp[i], comp[i]) for i in sets)
+
+
 def test_pipeline_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mix_sources", "pack"]
