@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenframe.llm import common, linking, mixing, near_dedup, quality_rules
+from lumenframe.llm import common, line_dedup, linking, mixing, near_dedup, quality_rules
 
 WORDS = [f"word{i}" for i in range(400)]
 
@@ -114,3 +114,47 @@ def test_linking_by_sketches_equals_brute_force(spark, pairs_a_member):
 
 def test_pipeline_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mix_sources", "pack"]
+
+
+def altered(rng, base, k):
+    out = list(base)
+    for at in rng.choice(len(out), k, replace=False):
+        out[at] = chr(int(rng.integers(0x4E00, 0x9000)))
+    return "".join(out)
+
+
+def test_bitmaps_lose_no_similar_lines(spark):
+    """Bitmaps never rule out lines at 0.8 or more, of any length, and nearly all at 0.65 or less."""
+    rng, rows = np.random.default_rng(7), []
+    for i in range(400):
+        n = int(rng.integers(3, 400))
+        a = "".join(chr(int(c)) for c in rng.integers(0x4E00, 0x9000, n))
+        rows.append((i, a, altered(rng, a, min(n, int(rng.integers(0, 1 + n // 10))))))
+    pairs = spark.createDataFrame(rows, "id long, a string, b string")
+    sketch = lambda c: line_dedup.bitmaps(line_dedup.window_tokens(pairs.select("id", F.col(c).alias("line")))).withColumnRenamed("sketch", f"s{c}")
+    got = pairs.join(sketch("a"), "id").join(sketch("b"), "id").select(line_dedup.similar("a", "b", 80).alias("s"), line_dedup.similar("a", "b", 65).alias("t"), line_dedup.may_be_similar("sa", "sb", 80).alias("m")).collect()
+    assert len(got) == 400 and sum(r.s for r in got) > 100 and all(r.m for r in got if r.s)
+    far = [r.m for r in got if not r.t]
+    assert len(far) > 50 and sum(far) < 0.05 * len(far)
+
+
+def test_group_of_lines_below_the_limit_is_compared_little(spark, monkeypatch):
+    """Lines of one pattern at 0.65 to 0.72, all of which share buckets: few pairs are left to be compared by their texts, and no line goes."""
+    rng, asked = np.random.default_rng(8), []
+    base = "".join(chr(int(c)) for c in rng.integers(0x4E00, 0x9000, 300))
+    rows = [(i, altered(rng, base, 5 + i % 2)) for i in range(120)]
+    cut = line_dedup.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        if name == "to-verify":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    w = [{t[i : i + 5] for i in range(len(t) - 4)} for _, t in rows]
+    near = sum(len(w[i] & w[j]) >= 0.8 * len(w[i] | w[j]) for i in range(120) for j in range(i))
+    assert len(got) == 120 and sum(r.n_removed for r in got) <= near
+    print("pairs asked", asked)
+    assert sum(asked) < 5 * 120
