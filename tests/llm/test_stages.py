@@ -1,5 +1,8 @@
 """The stages of the pipeline, and the linking of buckets against brute force."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +160,32 @@ def test_group_of_lines_below_the_limit_is_compared_little(spark, monkeypatch):
     near = sum(len(w[i] & w[j]) >= 0.8 * len(w[i] | w[j]) for i in range(120) for j in range(i))
     assert len(got) == 120 and sum(r.n_removed for r in got) <= near
     assert sum(asked) < 10 * 120
+
+
+def test_generated_methods_of_line_nodes_and_buckets_are_compiled(spark, monkeypatch, capsys):
+    """The JVM leaves methods of more than 8,000 bytes uncompiled; minhashes and table keys of every line run in smaller ones."""
+    sizes, cut = {}, line_dedup.cut
+
+    def measured(df, name):
+        capsys.readouterr()
+        df.explain("codegen")
+        sizes[name] = max((int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)), default=0)
+        return cut(df, name)
+
+    monkeypatch.setattr(line_dedup, "cut", measured)
+    monkeypatch.setattr(linking, "cut", measured)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        line_dedup.line_hits(spark.createDataFrame([(1, "one line of words\nand another line"), (2, "one line of words")], "doc_id long, text string"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert all(0 < sizes[n] <= 8000 for n in ("line-nodes", "shared-keys", "buckets"))
+
+
+@pytest.mark.parametrize("count", [None, 1, 10**6])
+def test_shared_keys(spark, count):
+    rows = [(k % 40 if i % 3 else 1000 + 7 * i + k, i) for i in range(60) for k in range(5 * i, 5 * i + 4)]
+    n = Counter(k for k, _ in rows)
+    got = linking.shared_keys(spark.createDataFrame(rows, "key long, id long"), count).collect()
+    assert sorted((r.key, r.id, r.n) for r in got) == sorted((k, i, n[k]) for k, i in rows if n[k] > 1)
