@@ -189,3 +189,12 @@ def test_shared_keys(spark, count):
     n = Counter(k for k, _ in rows)
     got = linking.shared_keys(spark.createDataFrame(rows, "key long, id long"), count).collect()
     assert sorted((r.key, r.id, r.n) for r in got) == sorted((k, i, n[k]) for k, i in rows if n[k] > 1)
+
+
+def test_lists_carry_sketches_where_these_are_too_many_to_broadcast(spark, monkeypatch):
+    names, cut = {}, linking.cut
+    monkeypatch.setattr(linking, "cut", lambda df, name: names.update({name: df.columns}) or cut(df, name))
+    for most in (0, 1000):
+        monkeypatch.setattr(linking, "LATE_SKETCHES", most)
+        test_linking_by_sketches_equals_brute_force(spark, 0)
+        assert ("sketch" in names["lists"]) == (most == 0)
